@@ -44,3 +44,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for written tables: below the shared checkpoint folder, else a temporary one."""
+    import os
+    import uuid
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return f"{configured.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "t")
