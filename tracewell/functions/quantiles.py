@@ -14,11 +14,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import MAD_TO_SIGMA
+from tracewell.session import store
 
 HOT_GROUP = 1_000_000
 BINS = 512
 
 
+def narrow(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """The keys and the value as a stored two-part table; later passes read only that."""
+    value = F.col(value) if isinstance(value, str) else value
+    return store(
+        df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    )
+
+
+def hot_groups(rows: DataFrame, keys: Sequence[str], hot_group: int) -> DataFrame | None:
+    """Groups above the limit with their size ``_n``, or None when there are none."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_group)
+    return None if sizes.isEmpty() else sizes
+
+
+def _summarise(
+    rows: DataFrame,
+    keys: list[str],
+    probs: Sequence[float],
+    hot: DataFrame | None,
+    bins: int,
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """``n``, the percentile array ``q`` and any further aggregates of ``_v`` per key."""
+    probe = F.array(*[F.lit(float(p)) for p in probs])
+    direct = [F.count("*").alias("n"), F.percentile("_v", probe).alias("q"), *extra]
+    if hot is None:
+        return rows.groupBy(*keys).agg(*direct).where("n > 0")
+    if not keys:
+        rows, hot, keyed = rows.withColumn("_all", F.lit(1)), hot.withColumn("_all", F.lit(1)), ["_all"]
+    else:
+        keyed = keys
+    # At most total/hot_group groups can be hot, which bounds the broadcast side.
+    calm = rows.join(F.broadcast(hot.select(*keyed)), keyed, "left_anti")
+    busy = rows.join(F.broadcast(hot), keyed)
+    ranked = _ranked(busy, keyed, probs, bins)
+    if extra:
+        ranked = ranked.join(busy.groupBy(*keyed).agg(*extra), keyed)
+    normal = calm.groupBy(*keyed).agg(*direct)
+    return normal.unionByName(ranked.select(*normal.columns)).drop("_all")
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,24 +71,8 @@ def percentiles(
 ) -> DataFrame:
     """One row per key with ``n`` (non-null values) and ``q``, an array aligned with ``probs``."""
     keys = list(keys)
-    value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    probe = F.array(*[F.lit(float(p)) for p in probs])
-    if not keys:
-        rows, keys_used = rows.withColumn("_all", F.lit(1)), ["_all"]
-    else:
-        keys_used = keys
-    # At most total/hot_group groups can be hot, which bounds the broadcast side.
-    hot = (
-        rows.groupBy(*keys_used).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_group)
-    )
-    normal = (
-        rows.join(F.broadcast(hot.select(*keys_used)), keys_used, "left_anti")
-        .groupBy(*keys_used)
-        .agg(F.count("*").alias("n"), F.percentile("_v", probe).alias("q"))
-    )
-    big = _ranked(rows.join(F.broadcast(hot), keys_used), keys_used, probs, bins)
-    return normal.unionByName(big).select(*keys, "n", "q")
+    rows = narrow(df, keys, value)
+    return _summarise(rows, keys, probs, hot_groups(rows, keys, hot_group), bins)
 
 
 def _ranked(rows: DataFrame, keys: list[str], probs: Sequence[float], bins: int) -> DataFrame:
@@ -106,21 +132,29 @@ def _neighbours(p: float) -> list[tuple[Column, Column]]:
     return [(low, 1 - (at - low)), (F.least(low + 1, F.col("_n") - 1), at - low)]
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str, hot_group: int = HOT_GROUP) -> DataFrame:
-    """Count, median, P95, P99, MAD and the robust scale 1.4826 MAD per key."""
+def spread(
+    df: DataFrame, keys: Sequence[str], value: str | Column, hot_group: int = HOT_GROUP, bins: int = BINS
+) -> DataFrame:
+    """Count, median, P95, P99, MAD, robust scale, mean, variance and minimum per key."""
     keys = list(keys)
-    base = percentiles(df, keys, value, [0.5, 0.95, 0.99], hot_group).select(
+    rows = narrow(df, keys, value)
+    hot = hot_groups(rows, keys, hot_group)
+    moments = [F.avg("_v").alias("mean"), F.var_samp("_v").alias("variance"), F.min("_v").alias("min")]
+    base = _summarise(rows, keys, [0.5, 0.95, 0.99], hot, bins, moments).select(
         *keys,
         F.col("n").alias("sample_size"),
         F.col("q")[0].alias("median"),
         F.col("q")[1].alias("p95"),
         F.col("q")[2].alias("p99"),
+        "mean",
+        "variance",
+        "min",
     )
     centre = base.select(*keys, F.col("median").alias("_med"))
-    centred = df.join(centre, keys) if keys else df.crossJoin(F.broadcast(centre))
-    mad = percentiles(
-        centred, keys, F.abs(F.col(value) - F.col("_med")), [0.5], hot_group
-    ).select(*keys, F.col("q")[0].alias("mad"))
+    # Without keys the centre is one row.
+    centred = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))
+    centred = centred.select(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v"))
+    mad = _summarise(centred, keys, [0.5], hot, bins).select(*keys, F.col("q")[0].alias("mad"))
     joined = base.join(mad, keys) if keys else base.crossJoin(F.broadcast(mad))
     return joined.withColumn("robust_scale", F.col("mad") * MAD_TO_SIGMA)
 
@@ -129,21 +163,27 @@ STATS = ("count", "min", "max", "mean", "std", "p25", "p50", "p75", "p95", "p99"
 
 
 def distribution(
-    df: DataFrame, keys: Sequence[str], value: str, sample_std: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    sample_std: bool = False,
+    hot_group: int = HOT_GROUP,
+    bins: int = BINS,
 ) -> DataFrame:
     """Count, range, mean, deviation and five percentiles per key."""
     keys = list(keys)
-    v = F.col(value)
-    moments = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count(v).alias("count"),
-        F.min(v).cast("double").alias("min"),
-        F.max(v).cast("double").alias("max"),
-        F.avg(v).alias("mean"),
-        (F.stddev_samp(v) if sample_std else F.stddev_pop(v)).alias("std"),
-    )
-    cut = percentiles(df, keys, value, [0.25, 0.5, 0.75, 0.95, 0.99]).select(
-        *keys, *[F.col("q")[i].alias(n) for i, n in enumerate(STATS[5:])]
+    rows = narrow(df, keys, value)
+    extra = [
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        F.avg("_v").alias("mean"),
+        (F.stddev_samp("_v") if sample_std else F.stddev_pop("_v")).alias("std"),
+    ]
+    probs = [0.25, 0.5, 0.75, 0.95, 0.99]
+    out = _summarise(rows, keys, probs, hot_groups(rows, keys, hot_group), bins, extra)
+    return out.select(
+        *keys,
+        F.col("n").alias("count"),
+        *STATS[1:5],
+        *[F.col("q")[i].alias(n) for i, n in enumerate(STATS[5:])],
     )
-    if keys:
-        return moments.join(cut, keys)
-    return moments.join(cut, F.lit(True), "left")

@@ -6,6 +6,8 @@ aggregate.  Undefined values are null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +66,21 @@ def _steps(segmented: DataFrame, rules: FeatureRules, window_s: int) -> DataFram
             *KEY, "t_us", "subsecond_seq", "segment_start_us", "latitude", "longitude",
             "prev_lat", "prev_lon", F.when(~first, F.col("dt")).alias("dt"), step.alias("step"),
         )
-        .withColumn("speed", F.when(F.col("dt") > 0, F.col("step") / F.col("dt")))
-        .withColumn("speed_dt", F.when(F.col("dt") > 0, F.col("dt")))
-        .withColumn(
-            "bearing",
-            F.when(
+        .withColumns({
+            "speed": F.when(F.col("dt") > 0, F.col("step") / F.col("dt")),
+            "speed_dt": F.when(F.col("dt") > 0, F.col("dt")),
+            "bearing": F.when(
                 F.col("step") >= rules.min_bearing_step_m,
                 geo.bearing("prev_lat", "prev_lon", "latitude", "longitude"),
             ),
-        )
+        })
     )
     x, y, z = geo.unit_vector("latitude", "longitude")
-    moved = moved.withColumn("_x", x).withColumn("_y", y).withColumn("_z", z)
+    moved = moved.withColumns({
+            "_x": x,
+            "_y": y,
+            "_z": z,
+        })
     w = Window.partitionBy(*KEY).orderBy("t_us", "subsecond_seq")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -100,19 +105,21 @@ def window_features(
     """The feature table: one row per retained window of a segmented point table."""
     p = _steps(segmented, rules, segment_rules.window_s)
     clat, clon = geo.centroid_lat("_cx", "_cy", "_cz"), geo.centroid_lon("_cx", "_cy")
-    p = p.withColumn("_clat", clat).withColumn("_clon", clon)
+    p = p.withColumns({
+            "_clat": clat,
+            "_clon": clon,
+        })
     to_centre = geo.haversine("latitude", "longitude", "_clat", "_clon")
     accel = (F.col("speed") - F.col("_ps")) / (0.5 * (F.col("speed_dt") + F.col("_pd")))
     turn = F.abs(geo.signed_turn("bearing", "_pb"))
     p = (
-        p.withColumn("_d2", to_centre * to_centre)
-        .withColumn("_acc", accel)
-        .withColumn("_turn", turn)
-        .withColumn("_oct", F.floor(F.col("bearing") / (360.0 / rules.octants)) % rules.octants)
-        # Longitudes are kept as a set only where the window may wrap around the globe.
-        .withColumn(
-            "_wide", F.when(F.col("_lon1") - F.col("_lon0") >= 180, F.col("longitude"))
-        )
+        p.withColumns({
+            "_d2": to_centre * to_centre,
+            "_acc": accel,
+            "_turn": turn,
+            "_oct": F.floor(F.col("bearing") / (360.0 / rules.octants)) % rules.octants,
+            "_wide": F.when(F.col("_lon1") - F.col("_lon0") >= 180, F.col("longitude")),
+        })
     )
     at = F.struct("t_us", "subsecond_seq")
     here = F.struct("latitude", "longitude")
@@ -179,111 +186,79 @@ def _finish(g: DataFrame, rules: FeatureRules) -> DataFrame:
     )
     share = [F.col(f"_o{i}") / F.col("_bearings") for i in range(rules.octants)]
     entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in share), F.lit(0.0))
-    import math
-
     g = (
-        g.withColumn("temporal_span_sec", span)
-        .withColumn("start_us", F.col("first_us"))
-        .withColumn("end_us", F.col("last_us"))
-        .withColumn("start_time", geo.from_micros("first_us"))
-        .withColumn("end_time", geo.from_micros("last_us"))
-        .withColumn("end_latitude", F.col("_b.latitude"))
-        .withColumn("end_longitude", F.col("_b.longitude"))
-        .withColumn(
-            "zero_dt_fraction",
-            F.when(F.col("_steps") > 0, F.col("zero_dt_count") / F.col("_steps")).otherwise(0.0),
-        )
-        .withColumn(
-            "straight_line_displacement_m",
-            geo.haversine("_a.latitude", "_a.longitude", "_b.latitude", "_b.longitude"),
-        )
+        g.withColumns({
+            "temporal_span_sec": span,
+            "start_us": F.col("first_us"),
+            "end_us": F.col("last_us"),
+            "start_time": geo.from_micros("first_us"),
+            "end_time": geo.from_micros("last_us"),
+            "end_latitude": F.col("_b.latitude"),
+            "end_longitude": F.col("_b.longitude"),
+            "zero_dt_fraction": F.when(F.col("_steps") > 0, F.col("zero_dt_count") / F.col("_steps")).otherwise(0.0),
+            "straight_line_displacement_m": geo.haversine("_a.latitude", "_a.longitude", "_b.latitude", "_b.longitude"),
+        })
     )
     disp = F.col("straight_line_displacement_m")
     g = (
-        g.withColumn(
-            "tortuosity_index",
-            F.when(several & (disp >= rules.min_tortuosity_disp_m), path / disp),
-        )
-        .withColumn(
-            "path_closure_ratio",
-            F.when(
+        g.withColumns({
+            "tortuosity_index": F.when(several & (disp >= rules.min_tortuosity_disp_m), path / disp),
+            "path_closure_ratio": F.when(
                 (n >= rules.min_closure_points) & (path >= rules.min_closure_path_m),
                 geo.unit_interval(1 - disp / path),
             ),
-        )
-        .withColumn(
-            "radius_of_gyration",
-            F.when(several & (F.col("_rg") >= 1e-6), F.col("_rg")).otherwise(0.0),
-        )
-        .withColumn("bbox_height_m", geo.haversine("_lat0", "centroid_lon", "_lat1", "centroid_lon"))
-        .withColumn(
-            "bbox_width_m", geo.haversine("centroid_lat", F.lit(0.0), "centroid_lat", lon_span)
-        )
+            "radius_of_gyration": F.when(several & (F.col("_rg") >= 1e-6), F.col("_rg")).otherwise(0.0),
+            "bbox_height_m": geo.haversine("_lat0", "centroid_lon", "_lat1", "centroid_lon"),
+            "bbox_width_m": geo.haversine("centroid_lat", F.lit(0.0), "centroid_lat", lon_span),
+        })
     )
     h, w = F.col("bbox_height_m"), F.col("bbox_width_m")
     turning = F.col("_bearings") >= rules.min_turn_vectors
     closure = F.col("path_closure_ratio")
     g = (
-        g.withColumn("bbox_diagonal_m", F.sqrt(h * h + w * w))
-        .withColumn("bbox_area_sqm", h * w)
-        .withColumn("has_extreme_kinematic_transition", F.col("extreme_transition_count") > 0)
-        .withColumn(
-            "extreme_transition_fraction",
-            F.when(F.col("_speeds") > 0, F.col("extreme_transition_count") / F.col("_speeds")).otherwise(0.0),
-        )
-        .withColumn(
-            "turn_frequency",
-            F.when(turning, F.col("_sharp") / F.greatest(span / 60.0, F.lit(1 / 60.0))),
-        )
-        .withColumn(
-            "backtracking_tendency", F.when(turning, F.col("_reversals") / F.col("_turns"))
-        )
+        g.withColumns({
+            "bbox_diagonal_m": F.sqrt(h * h + w * w),
+            "bbox_area_sqm": h * w,
+            "has_extreme_kinematic_transition": F.col("extreme_transition_count") > 0,
+            "extreme_transition_fraction": F.when(F.col("_speeds") > 0, F.col("extreme_transition_count") / F.col("_speeds")).otherwise(0.0),
+            "turn_frequency": F.when(turning, F.col("_sharp") / F.greatest(span / 60.0, F.lit(1 / 60.0))),
+            "backtracking_tendency": F.when(turning, F.col("_reversals") / F.col("_turns")),
+        })
     )
     back, diag = F.col("backtracking_tendency"), F.col("bbox_diagonal_m")
     g = (
-        g.withColumn("pacing_tendency", back * closure)
-        .withColumn(
-            "loop_metric",
-            F.when(
+        g.withColumns({
+            "pacing_tendency": back * closure,
+            "loop_metric": F.when(
                 turning & (diag >= rules.min_diagonal_m),
                 closure
                 * (F.least(w, h) / F.greatest(w, h, F.lit(rules.min_diagonal_m)))
                 * (1 - back),
             ),
-        )
-        .withColumn(
-            "heading_variability",
-            F.when(
+            "heading_variability": F.when(
                 turning,
                 geo.unit_interval(
                     1 - F.sqrt(F.col("_cosb") * F.col("_cosb") + F.col("_sinb") * F.col("_sinb"))
                 ),
             ),
-        )
-        .withColumn(
-            "spatial_randomness_dispersion",
-            F.when(
+            "spatial_randomness_dispersion": F.when(
                 (n >= rules.min_dispersion_points) & (diag >= rules.min_diagonal_m),
                 F.col("radius_of_gyration") / diag,
             ),
-        )
-        .withColumn(
-            "entropy_directional",
-            F.when(
+            "entropy_directional": F.when(
                 F.col("_bearings") >= rules.min_entropy_vectors, entropy / math.log2(rules.octants)
             ),
-        )
-        .withColumn("has_displacement", several & (path > 0))
-        .withColumn("has_valid_kinematics", F.col("mean_speed_mps").isNotNull())
-        .withColumn("has_acceleration", F.col("mean_acceleration_mps2").isNotNull())
-        .withColumn("has_valid_turns", F.col("heading_change_mean").isNotNull())
-        .withColumn("has_entropy", F.col("entropy_directional").isNotNull())
-        .withColumn(
-            "is_kinematically_evaluable",
-            (n >= rules.evaluable_points)
+            "has_displacement": several & (path > 0),
+            "has_valid_kinematics": F.col("mean_speed_mps").isNotNull(),
+            "has_acceleration": F.col("mean_acceleration_mps2").isNotNull(),
+            "has_valid_turns": F.col("heading_change_mean").isNotNull(),
+        })
+        .withColumns({
+            "has_entropy": F.col("entropy_directional").isNotNull(),
+            "is_kinematically_evaluable": (n >= rules.evaluable_points)
             & (span >= rules.evaluable_span_s)
             & (path >= rules.evaluable_path_m),
-        )
+        })
     )
     return g.select(
         "window_id", "user_id", "trajectory_id", "segment_id", "segment_index", "window_index",

@@ -26,55 +26,49 @@ def segment_points(
     New columns: ``t_us, prev_us, prev_lat, prev_lon, dt, segment_index, segment_start_us,
     window_index, segment_id``.
     """
-    key = "trajectory_id"
+    # The user is part of the key so that both branches below read one and the same shuffle.
+    key = ["user_id", "trajectory_id"]
     gap_us = int(rules.max_gap_s * 1_000_000)
-    timed = points.withColumn("t_us", geo.micros("timestamp")).withColumn(
-        "_chunk", time_chunk("t_us", chunk_s)
-    )
-    w = Window.partitionBy(key, "_chunk").orderBy("t_us", "subsecond_seq")
+    timed = points.withColumn("t_us", geo.micros("timestamp")).withColumn("_chunk", time_chunk("t_us", chunk_s))
+    w = Window.partitionBy(*key, "_chunk").orderBy("t_us", "subsecond_seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     opens = (F.col("t_us") - F.col("prev_us")) > gap_us
     local = (
-        timed.withColumn("prev_us", F.lag("t_us").over(w))
-        .withColumn("prev_lat", F.lag("latitude").over(w))
-        .withColumn("prev_lon", F.lag("longitude").over(w))
+        timed.withColumns({
+            "prev_us": F.lag("t_us").over(w),
+            "prev_lat": F.lag("latitude").over(w),
+            "prev_lon": F.lag("longitude").over(w),
+        })
         .withColumn("_open", F.when(opens, F.col("t_us")))
-        .withColumn("_local_seg", F.count("_open").over(upto))
-        .withColumn("_local_start", F.max("_open").over(upto))
+        .withColumns({
+            "_local_seg": F.count("_open").over(upto),
+            "_local_start": F.max("_open").over(upto),
+        })
     )
-    chunks = local.groupBy(key, "_chunk").agg(
+    chunks = local.groupBy(*key, "_chunk").agg(
         F.min("t_us").alias("_first"),
         F.max(F.struct("t_us", "subsecond_seq", "latitude", "longitude")).alias("_last"),
         F.count("_open").alias("_opened"),
         F.max("_open").alias("_last_open"),
     )
-    c = Window.partitionBy(key).orderBy("_chunk")
+    c = Window.partitionBy(*key).orderBy("_chunk")
     past = c.rowsBetween(Window.unboundedPreceding, -1)
     edge_opens = (F.col("_first") - F.col("_edge.t_us")) > gap_us
     carry = (
-        chunks.withColumn("_edge", F.lag("_last").over(c))
-        .withColumn(
-            "_edge_open",
-            F.when(F.col("_edge").isNull() | edge_opens, F.col("_first")),
-        )
-        .withColumn(
-            "_edge_count",
-            F.when(F.col("_edge").isNull(), 0).otherwise(F.coalesce(edge_opens, F.lit(False)).cast("int")),
-        )
-        .withColumn(
-            "_base_seg",
-            F.coalesce(F.sum(F.col("_edge_count") + F.col("_opened")).over(past), F.lit(0))
+        chunks.withColumn("_edge", F.lag("_last").over(c)).withColumns({
+            "_edge_open": F.when(F.col("_edge").isNull() | edge_opens, F.col("_first")),
+            "_edge_count": F.when(F.col("_edge").isNull(), 0).otherwise(F.coalesce(edge_opens, F.lit(False)).cast("int")),
+        })
+        .withColumns({
+            "_base_seg": F.coalesce(F.sum(F.col("_edge_count") + F.col("_opened")).over(past), F.lit(0))
             + F.col("_edge_count"),
-        )
-        .withColumn(
-            "_base_start",
-            F.coalesce(
+            "_base_start": F.coalesce(
                 "_edge_open",
                 F.last(F.coalesce("_last_open", "_edge_open"), ignorenulls=True).over(past),
             ),
-        )
+        })
         .select(
-            key,
+            *key,
             "_chunk",
             "_base_seg",
             "_base_start",
@@ -84,22 +78,24 @@ def segment_points(
         )
     )
     joined = (
-        local.join(carry, [key, "_chunk"])
-        .withColumn("prev_us", F.coalesce("prev_us", "_e_us"))
-        .withColumn("prev_lat", F.coalesce("prev_lat", "_e_lat"))
-        .withColumn("prev_lon", F.coalesce("prev_lon", "_e_lon"))
+        local.join(carry, [*key, "_chunk"])
+        .withColumns({
+            "prev_us": F.coalesce("prev_us", "_e_us"),
+            "prev_lat": F.coalesce("prev_lat", "_e_lat"),
+            "prev_lon": F.coalesce("prev_lon", "_e_lon"),
+        })
     )
     span = F.col("t_us") - F.col("segment_start_us")
     return (
-        joined.withColumn(
-            "dt", F.coalesce((F.col("t_us") - F.col("prev_us")) / 1e6, F.lit(0.0))
-        )
-        .withColumn("segment_index", (F.col("_base_seg") + F.col("_local_seg")).cast("int"))
-        .withColumn("segment_start_us", F.coalesce("_local_start", "_base_start"))
-        .withColumn(
-            "window_index", F.floor(span / (rules.window_s * 1_000_000)).cast("int")
-        )
-        .withColumn("segment_id", segment_name())
+        joined.withColumns({
+            "dt": F.coalesce((F.col("t_us") - F.col("prev_us")) / 1e6, F.lit(0.0)),
+            "segment_index": (F.col("_base_seg") + F.col("_local_seg")).cast("int"),
+            "segment_start_us": F.coalesce("_local_start", "_base_start"),
+        })
+        .withColumns({
+            "window_index": F.floor(span / (rules.window_s * 1_000_000)).cast("int"),
+            "segment_id": segment_name(),
+        })
         .drop(
             "_chunk", "_open", "_local_seg", "_local_start", "_base_seg", "_base_start",
             "_e_us", "_e_lat", "_e_lon",
@@ -131,8 +127,10 @@ def segment_table(segmented: DataFrame) -> DataFrame:
             F.count_if(inner & (F.col("dt") > 0)).alias("positive_dt_count"),
             F.count_if((inner & (F.col("dt") == 0)) | same).alias("zero_dt_count"),
         )
-        .withColumn("duration_s", (F.col("end_us") - F.col("start_us")) / 1e6)
-        .withColumn("segment_id", segment_name())
+        .withColumns({
+            "duration_s": (F.col("end_us") - F.col("start_us")) / 1e6,
+            "segment_id": segment_name(),
+        })
     )
 
 
@@ -154,31 +152,24 @@ def window_table(segmented: DataFrame, rules: SegmentRules = SegmentRules()) ->
 def with_window_type(windows: DataFrame, rules: SegmentRules = SegmentRules()) -> DataFrame:
     seg = Window.partitionBy(*SEGMENT)
     w_us = rules.window_s * 1_000_000
-    length = F.max("last_us").over(seg) - F.col("segment_start_us")
-    full = (F.col("window_index") < F.floor(F.col("_length") / w_us)) | (
-        F.col("_length") == (F.floor(F.col("_length") / w_us) + 1) * w_us
-    )
-    span = (F.col("last_us") - F.col("first_us")) / 1e6
+    whole = F.floor(F.col("_length") / w_us)
+    measured = windows.withColumns({
+        "_length": F.max("last_us").over(seg) - F.col("segment_start_us"),
+        "span_s": (F.col("last_us") - F.col("first_us")) / 1e6,
+        "segment_id": segment_name(),
+    })
+    full = (F.col("window_index") < whole) | (F.col("_length") == (whole + 1) * w_us)
+    typed = measured.withColumns({"_full": full, "raw_window_id": window_name()})
     kept = (F.col("point_count") >= rules.min_window_points) & (
         F.col("_full") | (F.col("span_s") >= rules.min_window_span_s)
     )
-    return (
-        windows.withColumn("_length", length)
-        .withColumn("_full", full)
-        .withColumn("span_s", span)
-        .withColumn("is_retained", kept)
-        .withColumn("is_full_window", F.col("_full") & F.col("is_retained"))
-        .withColumn(
-            "window_type",
-            F.when(~F.col("is_retained"), "DISCARDED")
-            .when(F.col("_full"), "FULL")
-            .otherwise("PARTIAL"),
-        )
-        .withColumn("segment_id", segment_name())
-        .withColumn("raw_window_id", window_name())
-        .withColumn("window_id", F.when(F.col("is_retained"), F.col("raw_window_id")))
-        .drop("_length", "_full")
-    )
+    named = F.when(~kept, "DISCARDED").when(F.col("_full"), "FULL").otherwise("PARTIAL")
+    return typed.withColumns({
+        "is_retained": kept,
+        "is_full_window": F.col("_full") & kept,
+        "window_type": named,
+        "window_id": F.when(kept, F.col("raw_window_id")),
+    }).drop("_length", "_full")
 
 
 def windowed_points(

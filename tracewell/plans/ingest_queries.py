@@ -56,7 +56,7 @@ def zone_read(spark, sf):
 
 
 @query("snk1_partitioned_parquet", q(pts(), """SELECT user_id, count(*) AS n_points,
-  round(avg(latitude), 9) AS mean_lat FROM pts GROUP BY 1"""))
+  round(avg(latitude), 6) AS mean_lat FROM pts GROUP BY 1"""))
 def write_parquet(spark, sf):
     path = scratch_dir(spark)
     p = adapter.points(spark, sf).select(
@@ -65,7 +65,7 @@ def write_parquet(spark, sf):
     )
     p.write.partitionBy("day").option("compression", "snappy").parquet(path)
     return spark.read.parquet(path).groupBy("user_id").agg(
-        F.count("*").alias("n_points"), F.round(F.avg("latitude"), 9).alias("mean_lat")
+        F.count("*").alias("n_points"), F.round(F.avg("latitude"), 6).alias("mean_lat")
     )
 
 

@@ -22,6 +22,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .getOrCreate()
@@ -57,3 +58,13 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "t")
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate table to shared storage and read it back.
+
+    Used where several passes over one derived table would otherwise each redo the work above it.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
