@@ -29,7 +29,8 @@ def from_micros(us: Column | str) -> Column:
 
 
 def unit_interval(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Clip to [0, 1]; null stays null (least and greatest would skip it)."""
+    return F.when(c > 1, 1.0).when(c < 0, 0.0).otherwise(c)
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_M) -> Column:

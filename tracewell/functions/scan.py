@@ -25,6 +25,11 @@ def running_max(value: Column) -> tuple[str, Column]:
     return "max", value
 
 
+def max_before(value: Column) -> tuple[str, Column]:
+    """Largest value on earlier rows."""
+    return "maxb", value
+
+
 def last_seen(value: Column) -> tuple[str, Column]:
     """Last non-null value up to and including the row."""
     return "last", value
@@ -71,6 +76,10 @@ def ordered_scan(
             local[name] = F.max(v).over(upto)
             summary.append(F.max(v).alias(f"_sum_{name}"))
             carried[f"_car_{name}"] = F.max(f"_sum_{name}").over(past)
+        elif kind == "maxb":
+            local[name] = F.max(v).over(earlier)
+            summary.append(F.max(v).alias(f"_sum_{name}"))
+            carried[f"_car_{name}"] = F.max(f"_sum_{name}").over(past)
         elif kind in ("last", "before"):
             frame = upto if kind == "last" else earlier
             local[name] = F.last(v, ignorenulls=True).over(frame)
@@ -93,7 +102,7 @@ def ordered_scan(
         loc, car = F.col(f"_loc_{name}"), F.col(f"_car_{name}")
         if kind == "sum":
             out[name] = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
-        elif kind == "max":
+        elif kind in ("max", "maxb"):
             out[name] = F.greatest(loc, car)
         elif kind == "prev":
             out[name] = F.coalesce(loc, car)["v"]

@@ -219,7 +219,7 @@ def _feature_query(name: str, columns: list[str], digits: int = 6) -> None:
         return rounded(feature_table(spark, sf).select("window_id", *plain, *real), digits, real)
 
 
-_feature_query("ft1_sampling_quality", ["zero_dt_count", "zero_dt_fraction", "dt_mean", "dt_median", "dt_min", "dt_max", "dt_std"], 4)
+_feature_query("ft1_sampling_quality", ["zero_dt_count", "zero_dt_fraction", "dt_mean", "dt_median", "dt_min", "dt_max", "dt_std"], 9)
 _feature_query("ft2_step_distances", ["path_distance_m", "straight_line_displacement_m", "step_distance_mean", "step_distance_median", "step_distance_max", "step_distance_min", "step_distance_std"], 5)
 _feature_query("ft3_tortuosity", ["tortuosity_index"], 5)
 _feature_query("ft4_path_closure", ["path_closure_ratio"])
@@ -318,9 +318,9 @@ def movement_class(spark, sf):
 CONF = ["normal_confidence", "pacing_confidence", "lapping_confidence", "random_drift_confidence"]
 
 
-@query("beh2_confidences", q(beh(), f"SELECT window_id, {rnd(CONF, 2)} FROM beh"))
+@query("beh2_confidences", q(beh(), f"SELECT window_id, {rnd(CONF, 4)} FROM beh"))
 def confidences(spark, sf):
-    return rounded(classified(spark, sf).select("window_id", *CONF), 2, CONF)
+    return rounded(classified(spark, sf).select("window_id", *CONF), 4, CONF)
 
 
 @query(
