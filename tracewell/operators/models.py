@@ -69,6 +69,7 @@ def fit_boosted(
     both = weighted(_rows(train, horizon_s, columns)).withColumn("is_val", F.lit(False)).unionByName(
         _rows(val, horizon_s, columns).withColumns({"w": F.lit(1.0), "is_val": F.lit(True)})
     )
+    both = store(both.select("features", "y", "w", "is_val"))
     learner = GBTClassifier(
         featuresCol="features", labelCol="y", weightCol="w", validationIndicatorCol="is_val",
         stepSize=rules.boosted_step, subsamplingRate=rules.subsample, seed=rules.seed,
@@ -76,7 +77,9 @@ def fit_boosted(
         minInstancesPerNode=rules.min_child_rows if wide else 1,
         maxIter=rounds or (rules.wide_rounds if wide else rules.boosted_rounds),
     )
-    model = learner.fit(store(both.select("features", "y", "w", "is_val")))
+    if both.where("is_val").isEmpty():
+        learner.clear(learner.validationIndicatorCol)  # nothing to stop on
+    model = learner.fit(both)
     return _calibrated("wide_boosted" if wide else "boosted", model, val, horizon_s, columns)
 
 

@@ -583,10 +583,11 @@ def wide_boosted(spark, sf):
 
 @query("mdl6_scores_by_horizon")
 def by_horizon(spark, sf):
-    d = _cohort(spark, sf)
+    k = store(risk.known_cohort(feature_table(spark, sf, 250), RiskRules(horizons_s=(120, 240))))
+    d = {p: k.where(F.col("split") == p) for p in ("train", "val", "test")}
     outs = [
         models.score(d["test"], models.fit_boosted(d["train"], d["val"], h, _smaller(), rounds=3), h)
-        for h in (120, 360)
+        for h in (120, 240)
     ]
     return outs[0].unionByName(outs[1])
 
