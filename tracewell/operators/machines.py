@@ -116,7 +116,8 @@ def loop_machine(quiet_readings: int = 2) -> Machine:
 
 # --- group separation -----------------------------------------------------------------------
 
-APART, AROUSED = 1, 2
+# CLOSED (8) keeps its meaning here, so held readings use their own bit.
+APART, AROUSED, GROUP_HOLD = 1, 2, 4
 
 
 def group_machine(rules: GroupRules = GroupRules()) -> Machine:
@@ -129,10 +130,10 @@ def group_machine(rules: GroupRules = GroupRules()) -> Machine:
 
     def move(state, x: int):
         name, streak, alert = state
-        if x & HOLD:
-            return state
         if x & CLOSED and alert in ("t2", "t3"):
             alert = "closed"
+        if x & GROUP_HOLD:
+            return (name, streak, alert)
         if x & APART:
             seen = streak + 1 if name == "SEPARATION_PENDING" else 1
             if name == "SEPARATED" or seen >= n_sep:

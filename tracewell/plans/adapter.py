@@ -102,7 +102,7 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("uid % 7 <> 0").alias("is_enabled"),
     )
     corner = lambda a, b: F.struct(
-        (F.col("lat") + a).alias("lat"), (F.col("lng") + b).alias("lng")
+        (F.col("lat") + 0.00001 + a).alias("lat"), (F.col("lng") + 0.00001 + b).alias("lng")
     )
     d = 0.0006
     square = u.where("uid % 2 = 0").select(

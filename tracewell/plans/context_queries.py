@@ -17,8 +17,8 @@ CIRC = hav("latitude", "longitude", "center_lat", "center_lng")
 ZONED = READINGS + f""",
 uz AS (SELECT * FROM zones WHERE is_enabled AND (geometry_type <> 'CIRCLE' OR radius_m > 0)),
 ring AS (SELECT user_id, zone_id, unnest([0,1,2,3]) AS i,
-    39.9e0 + CAST(CAST(user_id AS BIGINT) % 40 AS DOUBLE)*0.01e0 AS la,
-    116.3e0 + CAST(CAST(user_id AS BIGINT) % 25 AS DOUBLE)*0.01e0 AS lo
+    39.9e0 + CAST(CAST(user_id AS BIGINT) % 40 AS DOUBLE)*0.01e0 + 0.00001e0 AS la,
+    116.3e0 + CAST(CAST(user_id AS BIGINT) % 25 AS DOUBLE)*0.01e0 + 0.00001e0 AS lo
   FROM uz WHERE geometry_type = 'POLYGON'),
 edges AS (SELECT user_id, zone_id,
     la + CASE WHEN i IN (2, 3) THEN 0.0006e0 ELSE 0.0 END AS a_la, lo + CASE WHEN i IN (1, 2) THEN 0.0006e0 ELSE 0.0 END AS a_lo,
