@@ -18,8 +18,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def base(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf, "events") if events is None else events
     return e.select(
         "event_id",
         F.col("user_id").alias("uid"),
@@ -30,9 +36,11 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def points(spark: SparkSession, sf: str, squeeze: int = 1000) -> DataFrame:
+def points(
+    spark: SparkSession, sf: str, squeeze: int = 1000, events: DataFrame | None = None
+) -> DataFrame:
     """Positions of 3-day trips whose clock runs ``squeeze`` times faster than the events'."""
-    b = base(spark, sf).withColumn("_b", F.expr(f"us - us % {TRIP_US}"))
+    b = base(spark, sf, events).withColumn("_b", F.expr(f"us - us % {TRIP_US}"))
     return b.select(
         "event_id",
         F.col("uid").cast("string").alias("user_id"),
@@ -119,9 +127,9 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     return circle.unionByName(square)
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
+def readings(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Telemetry readings: a position with sensor values and a signal state."""
-    p = points(spark, sf)
+    p = points(spark, sf, events=events)
     return p.select(
         "event_id",
         "user_id",
