@@ -52,6 +52,8 @@ def run_machine(
     packed = (
         df.withColumn("_chunk", chunk)
         .withColumn("_symbol", symbol.cast("int"))
+        # Stated here so that both uses of the packed rows read one and the same shuffle.
+        .dropna(subset=[*keys, "_chunk"])
         .groupBy(*keys, "_chunk")
         .agg(
             F.array_sort(

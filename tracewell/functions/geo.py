@@ -127,12 +127,20 @@ def polygon_contains(vertices, lat, lon) -> Column:
     return hits % 2 == 1
 
 
-def polygon_edge_distance(vertices, lat, lon) -> Column:
-    """Metres from a position to the nearest edge, in a plane centred on the position."""
+def local_scale(lat) -> tuple[Column, Column]:
+    """Metres per degree east and north around a latitude."""
+    lat = col(lat)
+    return LON_M * F.cos(F.radians(lat)), LAT_M - LAT_M_2PHI * F.cos(2 * F.radians(lat))
+
+
+def polygon_edge_distance(vertices, lat, lon, scale: tuple[Column, Column] | None = None) -> Column:
+    """Metres from a position to the nearest edge, in a plane centred on the position.
+
+    ``scale`` are the two columns of :func:`local_scale` when the caller has them already.
+    """
     vertices, lat, lon = col(vertices), col(lat), col(lon)
     ring = F.concat(F.slice(vertices, 2, F.size(vertices)), F.slice(vertices, 1, 1))
-    ky = LAT_M - LAT_M_2PHI * F.cos(2 * F.radians(lat))
-    kx = LON_M * F.cos(F.radians(lat))
+    kx, ky = scale or local_scale(lat)
 
     def edge(a: Column, b: Column) -> Column:
         x1, y1 = (a.lng - lon) * kx, (a.lat - lat) * ky

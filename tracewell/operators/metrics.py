@@ -144,7 +144,7 @@ def threshold_table(
     """
     keys = list(keys)
     cuts = F.array(*[F.lit(float(c)) for c in candidates])
-    passed = F.size(F.filter(cuts, lambda c: c <= F.coalesce(F.col(score).cast("double"), F.lit(0.0))))
+    passed = _passed(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), candidates, cuts)
     hist = scored.groupBy(*keys, passed.alias("_passed")).agg(
         F.sum(F.col("y").cast("bigint")).alias("_pos"), F.count("*").alias("_all")
     )
@@ -163,6 +163,24 @@ def threshold_table(
     return with_rates(counts)
 
 
+def _passed(value: Column, candidates: Sequence[float], cuts: Column) -> Column:
+    """How many ascending, evenly spaced candidates are not above the value.
+
+    The position is computed and then checked against the exact neighbours, so rounding of the
+    spacing cannot move a value over a threshold.
+    """
+    n, low, high = len(candidates), float(candidates[0]), float(candidates[-1])
+    step = (high - low) / (n - 1)
+    at = F.floor((value - low) / step).cast("int")
+    at = F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+    upper = F.get(cuts, F.least(at + 1, F.lit(n - 1)))
+    return (
+        at
+        + (value >= F.get(cuts, at)).cast("int")
+        + ((at < n - 1) & (value >= upper)).cast("int")
+    )
+
+
 def best_macro_f1(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Threshold with the highest macro-F1; the lowest threshold wins a tie."""
     best = F.max(F.struct(F.round("macro_f1", 12).alias("f1"), (-F.col("threshold")).alias("t")))

@@ -6,7 +6,7 @@ so that a reading is joined once and never multiplied.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.config import ZoneRules
@@ -27,33 +27,40 @@ def zones_by_user(zones: DataFrame) -> DataFrame:
     )
 
 
-def contains(zone: Column, lat: Column, lon: Column) -> Column:
-    """Whether a zone holds a position (a position exactly on a polygon edge may be outside)."""
-    circle = signed_distance(zone, lat, lon) <= 0
-    poly = geo.polygon_contains(zone["vertices"], lat, lon)
-    return F.when(zone["geometry_type"] == "POLYGON", poly).otherwise(circle)
-
-
-def signed_distance(zone: Column, lat: Column, lon: Column) -> Column:
-    """Metres to the border of a zone, negative inside."""
-    edge = geo.polygon_edge_distance(zone["vertices"], lat, lon)
-    poly = F.when(geo.polygon_contains(zone["vertices"], lat, lon), -edge).otherwise(edge)
-    circle = geo.haversine(lat, lon, zone["center_lat"], zone["center_lng"]) - zone["radius_m"]
-    return F.when(zone["geometry_type"] == "POLYGON", poly).otherwise(circle)
-
-
 def with_zone_distances(readings: DataFrame, zones: DataFrame) -> DataFrame:
-    """Add ``zone_distances``: array of (distance, name, zone_id, inside), null without zones."""
+    """Add ``zone_distances``: array of (distance, name, zone_id, inside), null without zones.
+
+    The distance is signed, negative inside.  A position exactly on a polygon edge has distance
+    zero and may still be outside.
+    """
     lat, lon = F.col("latitude"), F.col("longitude")
-    each = F.transform(
+    scale = (F.col("_kx"), F.col("_ky"))
+    poly = lambda z: z["geometry_type"] == "POLYGON"
+    raw = F.transform(
         "zones",
         lambda z: F.struct(
-            signed_distance(z, lat, lon).alias("distance"), z["name"].alias("name"),
-            z["zone_id"].alias("zone_id"), contains(z, lat, lon).alias("inside"),
+            F.when(poly(z), geo.polygon_edge_distance(z["vertices"], lat, lon, scale))
+            .otherwise(geo.haversine(lat, lon, z["center_lat"], z["center_lng"]) - z["radius_m"])
+            .alias("d"),
+            F.when(poly(z), geo.polygon_contains(z["vertices"], lat, lon)).alias("in_ring"),
+            z["name"].alias("name"),
+            z["zone_id"].alias("zone_id"),
         ),
     )
-    joined = readings.join(zones_by_user(zones), "user_id", "left")
-    return joined.withColumn("zone_distances", each).drop("zones")
+    signed = F.transform(
+        "_raw",
+        lambda z: F.struct(
+            F.when(z["in_ring"], -z["d"]).otherwise(z["d"]).alias("distance"),
+            z["name"].alias("name"),
+            z["zone_id"].alias("zone_id"),
+            F.coalesce(z["in_ring"], z["d"] <= 0).alias("inside"),
+        ),
+    )
+    kx, ky = geo.local_scale("latitude")
+    joined = readings.join(zones_by_user(zones), "user_id", "left").withColumns({"_kx": kx, "_ky": ky})
+    return joined.withColumn("_raw", raw).withColumn("zone_distances", signed).drop(
+        "zones", "_raw", "_kx", "_ky"
+    )
 
 
 def safe_area(readings: DataFrame, zones: DataFrame, rules: ZoneRules = ZoneRules()) -> DataFrame:
