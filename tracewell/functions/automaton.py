@@ -42,15 +42,17 @@ def run_machine(
 ) -> DataFrame:
     """Add ``state_before`` and ``state_after`` (names) to every reading."""
     keys = list(keys)
+    # A chunk column that is already there keeps the partitioning the caller chose.
+    own = "_chunk" in df.columns
     table = F.array(*[F.lit(v) for v in machine.table()])
     width = machine.symbols
 
     def move(state: Column, row: Column) -> Column:
         return F.element_at(table, state * width + row["_symbol"] + 1)
 
-    body = [c for c in df.columns if c not in keys]
+    body = [c for c in df.columns if c not in (*keys, "_chunk")]
     packed = (
-        df.withColumn("_chunk", chunk)
+        (df if own else df.withColumn("_chunk", chunk))
         .withColumn("_symbol", symbol.cast("int"))
         # Stated here so that both uses of the packed rows read one and the same shuffle.
         .dropna(subset=[*keys, "_chunk"])
@@ -119,4 +121,4 @@ def run_machine(
         *[F.col(f"_z.r.{c}").alias(c) for c in body],
         machine.name(F.col("_z.b")).alias("state_before"),
         machine.name(F.col("_z.a")).alias("state_after"),
-    ).select(*df.columns, "state_before", "state_after")
+    ).select(*[c for c in df.columns if c != "_chunk"], "state_before", "state_after")

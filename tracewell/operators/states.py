@@ -71,7 +71,8 @@ def stateless_pdr(displacement: Column) -> Column:
 
 def zone_readings(readings: DataFrame, zones: DataFrame, rules: GeofenceRules = GeofenceRules()) -> DataFrame:
     """One row per reading and zone of its user with the machine's input."""
-    d = with_zone_distances(readings, zones).withColumn(
+    hourly = readings.withColumn("_chunk", _hourly()).dropna(subset=["user_id", "_chunk"])
+    d = with_zone_distances(hourly, zones, ("user_id", "_chunk")).withColumn(
         "_any", F.exists("zone_distances", lambda z: z["distance"] <= 0)
     )
     rows = d.select("*", F.explode("zone_distances").alias("_z")).drop("zone_distances")
@@ -91,7 +92,7 @@ def geofence_states(readings: DataFrame, zones: DataFrame, rules: GeofenceRules
     """Boundary state, alert action and evaluation status per reading and zone."""
     rows = zone_readings(readings, zones, rules)
     ran = run_machine(
-        rows, ["user_id", "zone_id"], ORDER, _hourly(), F.col("input"), m.geofence_machine(rules)
+        rows, ["user_id", "zone_id"], ORDER, F.col("_chunk"), F.col("input"), m.geofence_machine(rules)
     )
     held = F.col("input").bitwiseAND(m.HOLD) > 0
     was, now = F.col("state_before").isin(*m.OPEN_BREACH), F.col("state_after").isin(*m.OPEN_BREACH)

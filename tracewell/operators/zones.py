@@ -27,11 +27,14 @@ def zones_by_user(zones: DataFrame) -> DataFrame:
     )
 
 
-def with_zone_distances(readings: DataFrame, zones: DataFrame) -> DataFrame:
+def with_zone_distances(
+    readings: DataFrame, zones: DataFrame, spread_by: tuple[str, ...] = ()
+) -> DataFrame:
     """Add ``zone_distances``: array of (distance, name, zone_id, inside), null without zones.
 
     The distance is signed, negative inside.  A position exactly on a polygon edge has distance
-    zero and may still be outside.
+    zero and may still be outside.  ``spread_by`` names the keys a later stage groups by: rows are
+    then shuffled before the geometry is computed instead of after it.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
     scale = (F.col("_kx"), F.col("_ky"))
@@ -57,7 +60,10 @@ def with_zone_distances(readings: DataFrame, zones: DataFrame) -> DataFrame:
         ),
     )
     kx, ky = geo.local_scale("latitude")
-    joined = readings.join(zones_by_user(zones), "user_id", "left").withColumns({"_kx": kx, "_ky": ky})
+    joined = readings.join(zones_by_user(zones), "user_id", "left")
+    if spread_by:
+        joined = joined.repartition(*spread_by)
+    joined = joined.withColumns({"_kx": kx, "_ky": ky})
     return joined.withColumn("_raw", raw).withColumn("zone_distances", signed).drop(
         "zones", "_raw", "_kx", "_ky"
     )

@@ -10,6 +10,7 @@ from tracewell.config import CleaningRules
 # Fixed patterns: <user>/Trajectory/<trip>.plt or <user>/<trip>.plt
 USER_PATTERN = r"([^/]+)/(?:[Tt]rajectory/)?[^/]+\.plt$"
 TRIP_PATTERN = r"([^/]+)\.plt$"
+STAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -48,6 +49,7 @@ def read_traces(
         "user_id", "trajectory_id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")
     )
     f = F.split("line", ",")
+    stamp = F.concat_ws(" ", F.trim(f[5]), F.trim(f[6]))
     fields = (
         lines.where((F.col("pos") >= rules.header_lines) & (F.length(F.trim("line")) > 0))
         .where(F.size(f) == 7)
@@ -55,11 +57,7 @@ def read_traces(
             "user_id",
             "trajectory_id",
             "pos",
-            F.try_to_timestamp(
-                F.concat_ws(" ", F.trim(f[5]), F.trim(f[6])), F.lit("yyyy-MM-dd HH:mm:ss")
-            )
-            .cast("timestamp_ntz")
-            .alias("timestamp"),
+            F.when(stamp.rlike(STAMP_PATTERN), stamp.try_cast("timestamp_ntz")).alias("timestamp"),
             f[0].try_cast("double").alias("latitude"),
             f[1].try_cast("double").alias("longitude"),
             f[2].try_cast("bigint").alias("_reserved"),
