@@ -10,7 +10,7 @@ from tracewell.operators import behavior, cleaning, features, segments
 from tracewell.sources import plt
 
 T0 = dt.datetime(2024, 1, 1, 8, 0, 0)
-HEAD = "Geolife trajectory\nWGS 84\nAltitude is in Feet\nReserved 3\n0,2,255,My Track,0,0,2,8421376\n0\n"
+HEAD = "trace\nWGS 84\nfeet\nreserved\n0,2,255,track,0,0,2,8421376\n0\n"
 
 
 def at(seconds):

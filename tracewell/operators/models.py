@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -148,7 +147,3 @@ def importances(fitted: Fitted, spark, top: int = 10) -> DataFrame:
         .orderBy(F.desc("importance"), "feature")
         .limit(top)
     )
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

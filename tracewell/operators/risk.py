@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.config import BASELINE_FEATURES, RiskRules, SegmentRules
 from tracewell.functions.scan import max_before, ordered_scan, running_sum, time_chunk
 from tracewell.operators.features import EXTENDED, calendar
-from tracewell.operators.profiles import empirical_baselines, population_baseline
+from tracewell.operators.profiles import empirical_baselines
 from tracewell.session import store
 
 BASE_COLUMNS = (
@@ -389,7 +389,3 @@ def unseen_cohorts(
             prediction_features(rows, extended).join(rows.select("window_id", "cohort"), "window_id")
         )
     return outs[0].unionByName(outs[1])
-
-
-def population_of(features: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
-    return population_baseline(features, rules)

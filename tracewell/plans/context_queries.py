@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import decision, heart, loops, risk, zones
+from tracewell.operators import decision, heart, loops, zones
 from tracewell.plans import adapter
 from tracewell.plans.registry import query, rounded
 from tracewell.plans.risk_queries import OWN, judged

@@ -8,9 +8,8 @@ from tracewell.config import BASELINE_FEATURES
 from tracewell.functions import geo
 from tracewell.operators import anchors, profiles, trips
 from tracewell.plans import adapter
-from tracewell.plans.ingest_queries import STAT_COLUMNS, stats_sql
 from tracewell.plans.registry import query, rnd, rounded
-from tracewell.plans.sqltext import feat, hav, q, unit
+from tracewell.plans.sqltext import feat, hav, q
 from tracewell.plans.window_queries import feature_table
 
 TRIPS = feat() + """,

@@ -175,7 +175,6 @@ pr AS (SELECT t.* EXCLUDE (point_count), CAST(point_count AS DOUBLE) AS point_co
 
 
 PRED_COLUMNS = [c for c in risk.PREDICTORS]
-CONTEXT = {"trip_index": F.lit, "is_cold_start": F.lit}
 
 
 def with_context(spark, sf):

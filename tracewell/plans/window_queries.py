@@ -20,10 +20,6 @@ def segmented(spark, sf, squeeze: int = 250):
     return segments.segment_points(adapter.points(spark, sf, squeeze))
 
 
-def long_counts(df, *columns):
-    return df.select(*[F.col(c).cast("bigint").alias(c) if c in columns else c for c in df.columns])
-
-
 @query("seg1_interval_to_previous", q(seg(250), "SELECT event_id, trajectory_id, t_us, dt FROM seg"))
 def interval(spark, sf):
     return segmented(spark, sf).select("event_id", "trajectory_id", "t_us", "dt")
@@ -238,7 +234,6 @@ _feature_query("ft16_directional_entropy", ["entropy_directional"])
 _feature_query("ft17_computability_flags", [c for c in features.FLAGS])
 _feature_query("ft18_feature_table", [c for c in (*features.NUMERIC, *features.FLAGS)], 3)
 
-UNPIVOT = ", ".join(features.NUMERIC)
 
 
 def long_sql(columns) -> str:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracewell import schemas
 from tracewell.operators import cleaning, decision, states
 from tracewell.operators.zones import with_zone_distances
-from tracewell.functions import geo
 from tracewell.session import ROCKSDB_PROVIDER
 from tracewell.sources import sinks
 from tracewell.streaming.processors import TrailingHistory, UserMonitor, WindowBuilder
@@ -158,7 +157,3 @@ def frozen_scores(readings: DataFrame) -> DataFrame:
         F.when(F.col("is_degraded"), F.round(raised, 2)).otherwise(F.col("score")).alias("risk_score"),
         (F.col("is_degraded") & F.coalesce(blind, F.lit(False))).alias("past_blind_spot"),
     )
-
-
-def cell_of(df: DataFrame) -> DataFrame:
-    return df.withColumn("cell", geo.hex_cell("latitude", "longitude"))
