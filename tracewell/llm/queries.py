@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.line_quality import quality
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.token_counts import token_counts
 
@@ -19,6 +20,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repetition counts and the verdict on every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, huge ones by overlapping chunks."""
