@@ -1,6 +1,6 @@
 import random
 
-from tracewell.llm.token_counts import TokenRules, count_spliced, load, token_counts
+from tracewell.llm.token_counts import BLANK_RUN, TokenRules, count_pieces, count_spliced, load, token_counts
 
 PARTS = ["the", " ", "  ", "\n", "<|endoftext|>", "<|end", "a" * 50, "'s", "'", "123", "é", "漢字", " \n ", "!?", "#" * 20, "\t", "ß", "🎉", " " * 40]
 
@@ -13,6 +13,16 @@ def test_spliced_count_equals_whole_encoding():
         assert count_spliced(tok, text, rnd.choice([64, 100, 200]), rnd.choice([8, 40, 60]))[0] == whole
 
 
+def test_counts_by_pieces_equal_whole_encoding():
+    tok, rnd, n = load("byte_bpe_50k.json"), random.Random(4), 0
+    for _ in range(3000):
+        text = "".join(rnd.choice([*PARTS, " ", " ", "\x1c", "\u00a0", "\u2028"]) for _ in range(rnd.randint(0, 14)))
+        if not BLANK_RUN.search(text):
+            n += 1
+            assert count_pieces("byte_bpe_50k.json", [text]) == [len(tok.encode(text, add_special_tokens=False))], repr(text)
+    assert n > 300
+
+
 def test_overlap_widens_over_one_long_word():
     tok, text = load("byte_bpe_50k.json"), "start " + "x" * 5000 + " end"
     n, chunks = count_spliced(tok, text, 300, 40)

@@ -11,10 +11,15 @@ on the text behind that boundary only.  A boundary is taken if
 
 If an overlap has none (one long word, a run of blanks), the overlap is widened to the left, twice as far each time, until one
 shows or the right chunk begins where the left one does; then the two are encoded as one.
+
+Shorter texts are counted by their blank-led pieces.  A single blank between two other characters always begins a pre-token, for
+the same reason as above, so the pieces can be encoded apart; a worker encodes each distinct piece once and remembers its count.
+Texts with runs of blanks, where that does not hold, are encoded whole.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,15 +30,17 @@ from tracewell.llm.common import map_batches, record, texts
 #: Longer than any special string of the supported vocabularies.
 GUARD = 32
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long"
-#: Distinct pre-tokens whose merges one worker remembers.
-CACHE_WORDS = 300_000
+#: Pieces whose counts one worker remembers; the first ones, which hold the frequent ones.
+CACHE_PIECES = 600_000
+BLANK_RUN = re.compile(r" \s|\s ")
 _LOADED: dict = {}
+_COUNTS: dict[str, dict[str, int]] = {}
 
 
 @dataclass(frozen=True)
 class TokenRules:
     tokenizer: str = "byte_bpe_50k.json"
-    chunk_chars: int = 16_384
+    chunk_chars: int = 65_536
     overlap_chars: int = 512
     limit: int = 512
 
@@ -51,10 +58,7 @@ def load(name: str):
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        tok = Tokenizer.from_file(path)
-        if hasattr(tok.model, "_resize_cache"):
-            tok.model._resize_cache(CACHE_WORDS)
-        _LOADED[name] = tok
+        _LOADED[name] = Tokenizer.from_file(path)
     return _LOADED[name]
 
 
@@ -107,6 +111,22 @@ def count_spliced(tok, text: str, chunk: int, overlap: int) -> tuple[int, int]:
     return total + left[-1][1] - base, chunks
 
 
+def count_pieces(name: str, text: list[str]) -> list[int]:
+    """Tokens of texts without runs of blanks, by blank-led pieces."""
+    known = _COUNTS.setdefault(name, {})
+    parts = [t.split(" ") for t in text]
+    heads, tails = [p[0] for p in parts], [p[1:] for p in parts]
+    new = list({w for tail in tails for w in tail if w not in known})
+    tok = load(name)
+    first = [len(e) for e in tok.encode_batch_fast(heads, add_special_tokens=False)]
+    counts = dict(zip(new, map(len, tok.encode_batch_fast([" " + w for w in new], add_special_tokens=False))))
+    if len(known) < CACHE_PIECES:
+        known.update(counts)
+        return [n + sum(map(known.__getitem__, tail)) for n, tail in zip(first, tails)]
+    count = {**{w: known[w] for tail in tails for w in tail if w in known}, **counts}.__getitem__
+    return [n + sum(map(count, tail)) for n, tail in zip(first, tails)]
+
+
 def token_counts(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, n_chunks`` of each row of ``docs``.
 
@@ -118,13 +138,16 @@ def token_counts(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame
     def count(batch):
         tok = load(rules.tokenizer)
         text = [t or "" for t in batch.column("text").to_pylist()]
-        small = [i for i, t in enumerate(text) if len(t) <= rules.chunk_chars]
-        n, chunks = [0] * len(text), [1] * len(text)
-        for i, e in zip(small, tok.encode_batch_fast([text[i] for i in small], add_special_tokens=False)):
-            n[i] = len(e)
+        n, chunks, plain = [0] * len(text), [1] * len(text), []
         for i, t in enumerate(text):
             if len(t) > rules.chunk_chars:
                 n[i], chunks[i] = count_spliced(tok, t, rules.chunk_chars, rules.overlap_chars)
+            elif BLANK_RUN.search(t):
+                n[i] = len(tok.encode(t, add_special_tokens=False))
+            else:
+                plain.append(i)
+        for i, k in zip(plain, count_pieces(rules.tokenizer, [text[i] for i in plain])):
+            n[i] = k
         sizes = [len(t.encode()) for t in text]
         yield record(schema, batch.column("doc_id"), sizes, n, [x > rules.limit for x in n], chunks)
 
