@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
 from tracewell.llm.line_quality import quality
+from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.token_counts import token_counts
 
@@ -26,6 +27,12 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and the Markov ratio."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, huge ones by overlapping chunks."""
