@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.language import identify
 from tracewell.llm.line_quality import quality
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
@@ -33,6 +34,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by nearest centroids, learned from two folds of three."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, huge ones by overlapping chunks."""
