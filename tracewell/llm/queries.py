@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.common import table
 from tracewell.llm.language import identify
 from tracewell.llm.line_quality import quality
+from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.token_counts import token_counts
@@ -46,6 +47,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, encoded and decoded."""
+    return piece_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
