@@ -3,7 +3,7 @@
 A text is marked (blanks become the word mark, one more in front) and cut into marked words, which no piece crosses.  The distinct
 words of a batch are sorted, which lays them out as a depth-first walk of their trie: going from one word to the next, the forward
 pass keeps everything up to their common prefix and only runs over the rest.  What it keeps for a prefix are the best score, the
-last piece and the point to go back to, and these depend on the prefix alone.
+last piece and the place in the automaton that lists the pieces ending there, and these depend on the prefix alone.
 
 * Models of type unigram: the score is the sum of the piece scores; of equal ones the longest last piece wins.
 * Models of type BPE: a sequence of pieces is what merging gives if and only if merging any two neighbours' text gives the two
@@ -16,9 +16,10 @@ Characters without a piece are written as byte pieces.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from os.path import commonprefix
 
 import numpy as np
@@ -34,7 +35,7 @@ UNIGRAM, BPE = 1, 2
 #: How far a missing character lies below the lowest score.
 MISSING = 10.0
 #: Words whose pieces one worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Pairs of neighbours whose verdict one worker remembers.
 CACHE_PAIRS = 1_500_000
 _LOADED: dict[str, Pieces] = {}
@@ -78,15 +79,42 @@ class Pieces:
                 self.raw.append(" ⁇ ".encode() if p.type == 2 else b"")
                 self.unknown = i if p.type == 2 else self.unknown
         self.floor = min(self.score.values(), default=0.0) - MISSING
-        self.trie: dict = {}
-        for piece in self.score:
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self._automaton()
+        self.words: dict[str, bytes] = {}  # ids, four bytes each
+        self.pairs: dict[int, bool] = {}
+
+    def _automaton(self) -> None:
+        """Trie of the pieces with links to the longest proper suffix that is in it, and the pieces that end at each node."""
+        self.names = [""]  # pieces by number; 0: start of a word
+        self.children: list[dict[str, int]] = [{}]
+        self.piece = [0]  # number of the piece that a node spells, or 0
+        for name in self.score:
+            node = 0
+            for c in name:
+                after = self.children[node].get(c)
+                if after is None:
+                    after = self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.piece.append(0)
+                node = after
+            self.piece[node] = len(self.names)
+            self.names.append(name)
+        self.inside = {name[i : i + 2] for name in self.names for i in range(len(name) - 1)}
+        self.number = {name: k for k, name in enumerate(self.names)}
+        self.fail = [0] * len(self.children)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.children)
+        todo = deque(self.children[0].values())
+        while todo:
+            node = todo.popleft()
+            k = self.piece[node]
+            self.ends[node] = (((k, len(self.names[k])),) if k else ()) + self.ends[self.fail[node]]
+            for c, after in self.children[node].items():
+                link = self.fail[node]
+                while link and c not in self.children[link]:
+                    link = self.fail[link]
+                link = self.children[link].get(c, 0)
+                self.fail[after] = link
+                todo.append(after)
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best pair again and again, the leftmost of equal ones."""
@@ -101,70 +129,100 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _allowed(self, last: str, piece: str) -> bool:
-        """Whether merging keeps ``piece`` apart from ``last`` (empty at the start of a word) and makes it at all."""
-        key = (last, piece)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.merge(last + piece) == [x for x in key if x]
-            if len(self.pairs) < CACHE_PAIRS:
-                self.pairs[key] = known
+    def _allowed(self, last: int, piece: int) -> bool:
+        """Whether merging keeps ``piece`` apart from ``last`` (0 at the start of a word) and makes it at all."""
+        both = [self.names[k] for k in (last, piece) if k]
+        known = self.merge("".join(both)) == both
+        if len(self.pairs) < CACHE_PAIRS:
+            self.pairs[last << 32 | piece] = known
         return known
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, ids) of distinct words, in sorted order."""
         before = ""
-        score, last, back = [0.0], [""], [0]  # of each prefix of the word at hand
-        open_nodes: list[list[tuple[int, dict]]] = [[(0, self.trie)]]
+        score, last, nodes = [0.0], [0], [0]  # of each prefix of the word at hand
+        forward = self._forward_bpe if self.bpe else self._forward_unigram
         for word in sorted(words):
             keep = len(commonprefix((before, word)))
-            del score[keep + 1 :], last[keep + 1 :], back[keep + 1 :], open_nodes[keep + 1 :]
-            for end in range(keep + 1, len(word) + 1):
-                c = word[end - 1]
-                reached, best, found, start = [], float("-inf"), None, end - 1
-                for begin, node in open_nodes[-1]:  # from the longest piece to the shortest
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    reached.append((begin, node))
-                    piece = node.get("")
-                    if piece is None:
-                        continue
-                    if self.bpe:
-                        if found is None and self._allowed(last[begin], piece):
-                            best, found, start = 0.0, piece, begin
-                    elif score[begin] + self.score[piece] > best:
-                        best, found, start = score[begin] + self.score[piece], piece, begin
-                if c not in self.score:
-                    if (self.bpe and found is None) or (not self.bpe and score[end - 1] + self.floor > best):
-                        best, found, start = 0.0 if self.bpe else score[end - 1] + self.floor, c, end - 1
-                score.append(best)
-                last.append(found)
-                back.append(start)
-                reached.append((end, self.trie))
-                open_nodes.append(reached)
-            yield word, self._ids(word, last, back)
+            del score[keep + 1 :], last[keep + 1 :], nodes[keep + 1 :]
+            forward(word[keep:], score, last, nodes)
+            yield word, self._ids(last)
             before = word
 
-    def _ids(self, word: str, last: list[str], back: list[int]) -> tuple[int, ...]:
-        out, end = [], len(word)
+    def _forward_bpe(self, rest: str, score: list[float], last: list[int], nodes: list[int]) -> None:
+        """Extend the forward pass by the characters of ``rest``: the one piece that may follow what stands before it."""
+        children, fail, ends, pairs, node = self.children, self.fail, self.ends, self.pairs, nodes[-1]
+        for c in rest:
+            after = children[node].get(c)
+            while after is None and node:
+                node = fail[node]
+                after = children[node].get(c)
+            node = after or 0
+            nodes.append(node)
+            for k, size in ends[node]:  # from the longest piece that ends here to the shortest
+                known = pairs.get(last[-size] << 32 | k)
+                if known or known is None and self._allowed(last[-size], k):
+                    last.append(k)
+                    break
+            else:
+                last.append(self._missing(c))
+
+    def _forward_unigram(self, rest: str, score: list[float], last: list[int], nodes: list[int]) -> None:
+        """Extend the forward pass by the characters of ``rest``: the piece with the best sum, the longest of equal ones."""
+        children, fail, ends, node = self.children, self.fail, self.ends, nodes[-1]
+        for c in rest:
+            while node and c not in children[node]:
+                node = fail[node]
+            node = children[node].get(c, 0)
+            nodes.append(node)
+            best, found = float("-inf"), 0
+            for k, size in ends[node]:
+                total = score[-size] + self.score[self.names[k]]
+                if total > best:
+                    best, found = total, k
+            if c not in self.score and score[-1] + self.floor > best:
+                best, found = score[-1] + self.floor, self._missing(c)
+            score.append(best)
+            last.append(found)
+
+    def _missing(self, c: str) -> int:
+        """Number of a character without a piece."""
+        if c not in self.number:
+            self.number[c] = len(self.names)
+            self.names.append(c)
+        return self.number[c]
+
+    def _ids(self, last: list[int]) -> tuple[int, ...]:
+        out, end = [], len(last) - 1
         while end:
-            piece = last[end]
+            piece = self.names[last[end]]
             if piece in self.id:
                 out.append(self.id[piece])
             elif self.bytes:
                 out.extend(self.bytes[b] for b in reversed(piece.encode()))
             else:
                 out.append(self.unknown)
-            end = back[end]
+            end -= len(piece)
         return tuple(reversed(out))
 
+    def _parts(self, word: str) -> list[str]:
+        """``word`` cut wherever no piece holds the two characters side by side, so that no piece can cross."""
+        out, start = [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.inside:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
+        return out
+
     def encode(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first index of each text and the end)."""
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in text]
         known = self.words
-        fresh = {w for ws in cut for w in ws if w not in known}
-        new = dict(self.encode_words(list(fresh)))
+        fresh = {w: self._parts(w) for w in {w for ws in cut for w in ws if w not in known}}
+        part = dict(self.encode_words(list({p for ps in fresh.values() for p in ps})))
+        packed = {p: array("i", ids).tobytes() for p, ids in part.items()}
+        new = {w: packed[ps[0]] if len(ps) == 1 else b"".join(map(packed.__getitem__, ps)) for w, ps in fresh.items()}
         if len(known) < CACHE_WORDS:
             known.update(new)
             get = known.__getitem__
@@ -172,10 +230,9 @@ class Pieces:
             get = {**{w: known[w] for ws in cut for w in ws if w in known}, **new}.__getitem__
         sizes, parts = [0], []
         for ws in cut:
-            ids = np.fromiter(chain.from_iterable(map(get, ws)), np.int32)
-            parts.append(ids)
-            sizes.append(len(ids))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.cumsum(sizes)
+            parts.append(b"".join(map(get, ws)))
+            sizes.append(len(parts[-1]) // 4)
+        return np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes)
 
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids, without the mark in front."""
