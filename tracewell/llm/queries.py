@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.decontaminate import matches
 from tracewell.llm.language import identify
 from tracewell.llm.line_quality import quality
 from tracewell.llm.pieces import piece_digest
@@ -57,3 +58,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents within their edit budget."""
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
