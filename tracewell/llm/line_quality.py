@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, record, texts
+from tracewell.llm.common import map_batches, record, slices, texts
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -233,6 +233,15 @@ def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules
     return fit(features, states, filled, rules.rounds, rules.ridge)
 
 
+def verdict(text: bytes | None, field: Field | None, rules: QualityRules) -> tuple:
+    """(base counts, base_failed, kept, lines, content lines, content share) of one text, flat."""
+    base, features, sizes = describe(text or b"")
+    states = field.decode(features) if field else np.ones(len(sizes), np.int64)
+    share = float((states * sizes).sum() / sizes.sum()) if len(sizes) else 0.0
+    failed = base[0] < rules.min_words or 100 * base[4] > rules.max_repeat_percent * base[0]
+    return (*base, failed, not failed and share >= rules.min_content, len(sizes), int(states.sum()), share)
+
+
 def assess(docs: DataFrame, field: Field | None, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts and verdict of each row of ``docs``.
 
@@ -246,13 +255,7 @@ def assess(docs: DataFrame, field: Field | None, rules: QualityRules = QualityRu
     ])
 
     def run(batch):
-        out = []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            base, features, sizes = describe(text or b"")
-            states = field.decode(features) if field else np.ones(len(sizes), np.int64)
-            share = float((states * sizes).sum() / sizes.sum()) if len(sizes) else 0.0
-            failed = base[0] < rules.min_words or 100 * base[4] > rules.max_repeat_percent * base[0]
-            out.append((*base, failed, not failed and share >= rules.min_content, len(sizes), int(states.sum()), share))
+        out = [verdict(t, field, rules) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield record(schema, batch.column("doc_id"), *zip(*out))
 
     return map_batches(texts(docs), run, SCHEMA)
@@ -275,3 +278,15 @@ def label_lines(docs: DataFrame, field: Field | None) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Train on ``labels``, then assess every row of ``docs``."""
     return assess(docs, train(docs, labels, rules), rules)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    field = train(docs, labels, rules)
+
+    def keep(batches):
+        for batch in slices(batches):
+            good = [verdict(t, field, rules)[6] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
