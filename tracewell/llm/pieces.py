@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, texts
+from tracewell.llm.common import map_batches, slices, texts
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -35,9 +35,9 @@ UNIGRAM, BPE = 1, 2
 #: How far a missing character lies below the lowest score.
 MISSING = 10.0
 #: Words whose pieces one worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Pairs of neighbours whose verdict one worker remembers.
-CACHE_PAIRS = 1_500_000
+CACHE_PAIRS = 500_000
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -79,14 +79,14 @@ class Pieces:
                 self.raw.append(" ⁇ ".encode() if p.type == 2 else b"")
                 self.unknown = i if p.type == 2 else self.unknown
         self.floor = min(self.score.values(), default=0.0) - MISSING
-        self._automaton()
+        self.children: list[dict[str, int]] = []
         self.words: dict[str, bytes] = {}  # ids, four bytes each
         self.pairs: dict[int, bool] = {}
 
     def _automaton(self) -> None:
         """Trie of the pieces with links to the longest proper suffix that is in it, and the pieces that end at each node."""
         self.names = [""]  # pieces by number; 0: start of a word
-        self.children: list[dict[str, int]] = [{}]
+        self.children = [{}]
         self.piece = [0]  # number of the piece that a node spells, or 0
         for name in self.score:
             node = 0
@@ -139,6 +139,8 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, ids) of distinct words, in sorted order."""
+        if not self.children:  # decoding needs none
+            self._automaton()
         before = ""
         score, last, nodes = [0.0], [0], [0]  # of each prefix of the word at hand
         forward = self._forward_bpe if self.bpe else self._forward_unigram
@@ -217,6 +219,8 @@ class Pieces:
 
     def encode(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first index of each text and the end)."""
+        if not self.children:
+            self._automaton()
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in text]
         known = self.words
         fresh = {w: self._parts(w) for w in {w for ws in cut for w in ws if w not in known}}
@@ -276,9 +280,10 @@ def decode(encoded: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
     fields = left.select("*", F.lit("").alias("decoded")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             model = load(rules.model)
-            text = [model.decode(x or []) for x in batch.column("ids").to_pylist()]
+            # One text at a time: lists of all ids of a batch would be far larger than the batch.
+            text = [model.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return left.mapInArrow(run, fields)
