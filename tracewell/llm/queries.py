@@ -14,6 +14,8 @@ from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
 from tracewell.llm.token_counts import token_counts
+from tracewell.llm.url_filters import filter_urls
+from tracewell.llm.url_query import ORACLE, captures, entries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,13 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents within their edit budget."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active when it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(captures(pages), entries(pages))
+
+
+ORACLES["op10_url_filters"] = ORACLE
