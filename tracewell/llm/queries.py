@@ -13,6 +13,7 @@ from tracewell.llm.line_quality import quality
 from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
+from tracewell.llm.surrogates import pseudonymise
 from tracewell.llm.token_counts import token_counts
 from tracewell.llm.url_filters import filter_urls
 from tracewell.llm.url_query import ORACLE, captures, entries
@@ -68,6 +69,12 @@ def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 @query
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the list entries active when it was fetched."""
