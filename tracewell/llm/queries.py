@@ -13,6 +13,7 @@ from tracewell.llm.line_quality import quality
 from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
+from tracewell.llm.suffix_dedup import remove_repeats
 from tracewell.llm.surrogates import pseudonymise
 from tracewell.llm.token_counts import token_counts
 from tracewell.llm.url_filters import filter_urls
@@ -45,6 +46,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings of all documents removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, huge ones by overlapping chunks."""
