@@ -126,11 +126,17 @@ class ModelRules:
     boosted_step: float = 0.05
     boosted_depth: int = 5
     boosted_rounds: int = 200
-    wide_depth: int = 6
-    wide_rounds: int = 350
+    # Candidates are screened with fewer rounds or trees; the best is fitted in full.
+    # Fixed values, wide boosted trees: depth, least rows of a leaf, step.
+    wide_candidates: tuple[tuple[int, int, float], ...] = ((6, 30, 0.05), (8, 50, 0.05), (6, 20, 0.03))
+    wide_screen_rounds: int = 100
+    wide_rounds: int = 250
+    wide_inputs: float = 0.7
     subsample: float = 0.8
+    # Fixed values, forest: depth, least rows of a leaf.
+    forest_candidates: tuple[tuple[int, int], ...] = ((12, 10), (14, 5), (10, 20))
+    forest_screen_trees: int = 40
     forest_trees: int = 100
-    min_child_rows: int = 5
     seed: int = 42
 
 

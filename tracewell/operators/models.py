@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from tracewell.config import ModelRules
 from tracewell.operators import metrics
-from tracewell.operators.risk import PREDICTORS
+from tracewell.operators.risk import EXTENDED_PREDICTORS
 from tracewell.session import store
 
 
-def design(df: DataFrame, columns: Sequence[str] = PREDICTORS) -> DataFrame:
+def design(df: DataFrame, columns: Sequence[str] = EXTENDED_PREDICTORS) -> DataFrame:
     """Add ``features``: nulls become zero and are flagged, because MLlib takes no missing values."""
     filled = df.withColumns({
         **{f"_x_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in columns},
@@ -60,50 +60,77 @@ def _probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p_raw", vector_to_array("probability")[1])
 
 
+def _average_precision(model, check: DataFrame) -> float:
+    scored = _probability(model.transform(check)).select("y", F.col("p_raw").alias("p"))
+    return metrics.ranking_metrics(scored, []).first()["pr_auc"] or 0.0
+
+
+def _screened(fits: Sequence, check: DataFrame) -> int:
+    """Position of the candidate with the best average precision on validation; the first of equal ones."""
+    values = [_average_precision(fit(), check) for fit in fits]
+    return values.index(max(values))
+
+
 def fit_boosted(
     train: DataFrame, val: DataFrame, horizon_s: int, rules: ModelRules = ModelRules(),
-    columns: Sequence[str] = PREDICTORS, rounds: int | None = None, wide: bool = False,
+    columns: Sequence[str] = EXTENDED_PREDICTORS, wide: bool = False,
 ) -> Fitted:
-    """Gradient boosted trees with class weights; rounds stop when validation loss stops falling."""
+    """Gradient boosted trees with class weights; rounds stop when validation loss stops falling.
+
+    The ``wide`` family first screens its candidates.
+    """
     both = weighted(_rows(train, horizon_s, columns)).withColumn("is_val", F.lit(False)).unionByName(
         _rows(val, horizon_s, columns).withColumns({"w": F.lit(1.0), "is_val": F.lit(True)})
     )
     both = store(both.select("features", "y", "w", "is_val"))
-    learner = GBTClassifier(
-        featuresCol="features", labelCol="y", weightCol="w", validationIndicatorCol="is_val",
-        stepSize=rules.boosted_step, subsamplingRate=rules.subsample, seed=rules.seed,
-        maxDepth=rules.wide_depth if wide else rules.boosted_depth,
-        minInstancesPerNode=rules.min_child_rows if wide else 1,
-        maxIter=rounds or (rules.wide_rounds if wide else rules.boosted_rounds),
-    )
-    if both.where("is_val").isEmpty():
-        learner.clear(learner.validationIndicatorCol)  # nothing to stop on
-    model = learner.fit(both)
-    return _calibrated("wide_boosted" if wide else "boosted", model, val, horizon_s, columns)
+    check = both.where("is_val")
+    stops = not check.isEmpty()
+    if both.where("NOT is_val").isEmpty():
+        return _nothing("wide_boosted" if wide else "boosted", columns)
+
+    def fit(depth, leaf, step, rounds, inputs="all"):
+        learner = GBTClassifier(
+            featuresCol="features", labelCol="y", weightCol="w", validationIndicatorCol="is_val", stepSize=step,
+            subsamplingRate=rules.subsample, seed=rules.seed, maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds,
+            featureSubsetStrategy=inputs,
+        )
+        if not stops:
+            learner.clear(learner.validationIndicatorCol)  # nothing to stop on
+        return learner.fit(both)
+
+    if not wide:
+        model = fit(rules.boosted_depth, 1, rules.boosted_step, rules.boosted_rounds)
+        return _calibrated("boosted", model, val, horizon_s, columns)
+    share = str(rules.wide_inputs)
+    options = rules.wide_candidates
+    screen = [lambda o=o: fit(*o, rules.wide_screen_rounds, share) for o in options]
+    best = _screened(screen, check) if stops else 0
+    return _calibrated("wide_boosted", fit(*options[best], rules.wide_rounds, share), val, horizon_s, columns)
 
 
 def fit_forest(
     train: DataFrame, val: DataFrame, horizon_s: int, rules: ModelRules = ModelRules(),
-    columns: Sequence[str] = PREDICTORS, candidates: Sequence[dict] | None = None,
+    columns: Sequence[str] = EXTENDED_PREDICTORS,
 ) -> Fitted:
-    """Random forest; the candidate with the best average precision on validation is kept."""
+    """Random forest; the candidate with the best average precision on validation is fitted in full."""
     rows = store(weighted(_rows(train, horizon_s, columns)).select("features", "y", "w"))
-    options = candidates or (
-        {"numTrees": rules.forest_trees, "maxDepth": 8, "minInstancesPerNode": 5},
-        {"numTrees": rules.forest_trees, "maxDepth": 12, "minInstancesPerNode": 10},
-        {"numTrees": rules.forest_trees, "maxDepth": 16, "minInstancesPerNode": 20},
-    )
-    check = _rows(val, horizon_s, columns)
-    best, best_score = None, -1.0
-    for option in options:
-        model = RandomForestClassifier(
-            featuresCol="features", labelCol="y", weightCol="w", seed=rules.seed, **option
+
+    def fit(depth, leaf, trees):
+        return RandomForestClassifier(
+            featuresCol="features", labelCol="y", weightCol="w", seed=rules.seed, maxDepth=depth, minInstancesPerNode=leaf, numTrees=trees
         ).fit(rows)
-        scored = _probability(model.transform(check)).select("y", F.col("p_raw").alias("p"))
-        score = metrics.ranking_metrics(scored, []).first()["pr_auc"] or 0.0
-        if score > best_score:
-            best, best_score = model, score
-    return _calibrated("forest", best, val, horizon_s, columns)
+
+    if rows.isEmpty():
+        return _nothing("forest", columns)
+    check = store(_rows(val, horizon_s, columns).select("features", "y"))
+    options = rules.forest_candidates
+    best = _screened([lambda o=o: fit(*o, rules.forest_screen_trees) for o in options], check)
+    return _calibrated("forest", fit(*options[best], rules.forest_trees), val, horizon_s, columns)
+
+
+def _nothing(name: str, columns: Sequence[str]) -> Fitted:
+    """What is known of a horizon without a labelled training row: no model, so null probabilities."""
+    return Fitted(name, None, tuple(columns), 1.0, 0.0, 0.5)
 
 
 def _calibrated(name, model, val: DataFrame, horizon_s: int, columns: Sequence[str]) -> Fitted:
@@ -123,7 +150,10 @@ def _calibrated(name, model, val: DataFrame, horizon_s: int, columns: Sequence[s
 
 def score(df: DataFrame, fitted: Fitted, horizon_s: int) -> DataFrame:
     """Long predictions: identifiers, truth, raw and calibrated probability, decision, horizon."""
-    raw = _probability(fitted.model.transform(design(df, fitted.columns)))
+    if fitted.model is None:
+        raw = df.withColumn("p_raw", F.lit(None).cast("double"))
+    else:
+        raw = _probability(fitted.model.transform(design(df, fitted.columns)))
     calibrated = metrics.calibrate("p_raw", fitted.weight, fitted.bias)
     return raw.select(
         "window_id", "user_id", "trajectory_id", "segment_id", "window_index", "start_us", "end_us",
@@ -139,6 +169,8 @@ def score(df: DataFrame, fitted: Fitted, horizon_s: int) -> DataFrame:
 
 def importances(fitted: Fitted, spark, top: int = 10) -> DataFrame:
     """The ``top`` inputs by split gain; a missing flag counts for its input."""
+    if fitted.model is None:
+        return spark.createDataFrame([], "feature string, importance double")
     gain = fitted.model.featureImportances.toArray()
     n = len(fitted.columns)
     rows = [(c, float(gain[i] + gain[i + n])) for i, c in enumerate(fitted.columns)]

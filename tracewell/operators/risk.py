@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.config import BASELINE_FEATURES, RiskRules, SegmentRules
 from tracewell.functions.scan import max_before, ordered_scan, running_sum, time_chunk
 from tracewell.operators.features import EXTENDED, calendar
-from tracewell.operators.profiles import empirical_baselines
+from tracewell.operators.profiles import empirical_baselines, population_baseline
 from tracewell.session import store
 
 BASE_COLUMNS = (
@@ -347,12 +347,26 @@ def expanding_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> D
     )
 
 
+def held_out(features: DataFrame, rules: RiskRules = RiskRules()) -> tuple[DataFrame, DataFrame]:
+    """Rows of known users and rows of unseen ones; nothing is ever learned from the latter."""
+    marked = features.join(unseen_users(features.select("user_id"), rules), "user_id")
+    return tuple(marked.where(F.col("is_unseen") == flag).select(*features.columns) for flag in (False, True))
+
+
+def split_windows(known: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
+    """Windows of known users with ``trip_no`` and ``split`` (warmup, train, val, test)."""
+    parts = warmup_split(numbered_trips(known), rules).select("user_id", "trajectory_id", "trip_no", "split")
+    return known.join(parts, ["user_id", "trajectory_id"])
+
+
+def population_prior(known: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
+    """Population baseline over the warm-up and training trips of known users."""
+    return population_baseline(split_windows(known, rules).where("split IN ('warmup', 'train')"), rules)
+
+
 def known_cohort(features: DataFrame, rules: RiskRules = RiskRules(), extended: bool = False) -> DataFrame:
-    """Prediction rows of known users with ``split`` train, val or test; past-only baselines."""
-    parts = warmup_split(numbered_trips(features), rules).select(
-        "user_id", "trajectory_id", "trip_no", "split"
-    )
-    windows = store(features.join(parts, ["user_id", "trajectory_id"]))
+    """Prediction rows of the known users with ``split`` train, val or test; past-only baselines."""
+    windows = store(split_windows(held_out(features, rules)[0], rules))
     base = wide_baselines(expanding_baselines(windows, rules), ("user_id", "base_no"))
     asked = windows.where("split <> 'warmup'").withColumn(
         "base_no", F.when(F.col("split") == "train", F.col("trip_no")).otherwise(0)
@@ -365,12 +379,12 @@ def known_cohort(features: DataFrame, rules: RiskRules = RiskRules(), extended:
     return out.join(rows.select("window_id", "split"), "window_id")
 
 
-def unseen_cohorts(
-    features: DataFrame, population: DataFrame, rules: RiskRules = RiskRules(), extended: bool = False
-) -> DataFrame:
-    """Rows of unseen users: ``zero_shot`` against the population, ``adapted`` after seven trips."""
-    trips = numbered_trips(features).select("user_id", "trajectory_id", "trip_no", "n_trips")
-    windows = store(features.join(trips, ["user_id", "trajectory_id"]))
+def unseen_cohorts(features: DataFrame, rules: RiskRules = RiskRules(), extended: bool = False) -> DataFrame:
+    """Rows of the unseen users: ``zero_shot`` against the known users' population, ``adapted`` after seven trips."""
+    known, unseen = held_out(features, rules)
+    population = population_prior(known, rules)
+    trips = numbered_trips(unseen).select("user_id", "trajectory_id", "trip_no", "n_trips")
+    windows = store(unseen.join(trips, ["user_id", "trajectory_id"]))
     cold = window_outliers(windows, population, (), rules).withColumns(
         {"cohort": F.lit("zero_shot"), "is_cold_start": F.lit(1)}
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.config import BASELINE_FEATURES, RiskRules
@@ -252,8 +255,13 @@ def unseen(spark, sf):
     return risk.unseen_users(u)
 
 
-EXPAND = WARM + """,
-wf AS (SELECT f.*, ws.trip_no, ws.split FROM feat f JOIN ws USING (user_id, trajectory_id)),
+UNSEEN = WARM + """,
+un AS (SELECT user_id, row_number() OVER (ORDER BY h) <= floor(count(*) OVER () * 0.2::DOUBLE) AS is_unseen
+  FROM (SELECT user_id, sha256(user_id || ':42') AS h FROM (SELECT DISTINCT user_id FROM feat))),
+kf AS (SELECT f.*, ws.trip_no, ws.split FROM feat f JOIN ws USING (user_id, trajectory_id) JOIN un USING (user_id) WHERE NOT is_unseen),
+uf AS (SELECT f.*, tn.trip_no, tn.n_trips FROM feat f JOIN tn USING (user_id, trajectory_id) JOIN un USING (user_id) WHERE is_unseen)"""
+EXPAND = UNSEEN + """,
+wf AS (SELECT * FROM kf),
 wlong AS (""" + " UNION ALL ".join(
     f"SELECT user_id, trip_no, split, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM wf" for c in BASELINE_FEATURES
 ) + """),
@@ -272,9 +280,8 @@ bl AS (SELECT user_id, base_no, feature, count(*) AS n, CASE WHEN count(*) >= 10
     q(EXPAND, "SELECT user_id, base_no, feature, n AS sample_size, round(median, 5) AS median, round(robust_scale, 5) AS robust_scale, round(p95, 5) AS p95 FROM bl"),
 )
 def expanding(spark, sf):
-    f = store(feature_table(spark, sf))
-    parts = risk.warmup_split(risk.numbered_trips(f)).select("user_id", "trajectory_id", "trip_no", "split")
-    b = risk.expanding_baselines(f.join(parts, ["user_id", "trajectory_id"]))
+    known, _ = risk.held_out(store(feature_table(spark, sf)))
+    b = risk.expanding_baselines(risk.split_windows(known))
     return rounded(b.drop("mad"), 5, ["median", "robust_scale", "p95"])
 
 
@@ -294,10 +301,16 @@ def known(spark, sf):
     return rounded(k.select("window_id", "split", "max_mad_z_score", *TARGETS), 3, ["max_mad_z_score"])
 
 
-POPB = """
-pmed AS (SELECT *, median(v) OVER (PARTITION BY feature) AS m FROM long WHERE v IS NOT NULL),
-bl AS (SELECT feature, min(m) AS median, 1.4826*median(abs(v-m)) AS robust_scale, quantile_cont(v, 0.95) AS p95 FROM pmed GROUP BY 1)"""
-ZERO = judged_sql(SPREAD + "," + POPB, "SELECT * FROM feat", "true")
+ZERO = judged_sql(
+    UNSEEN + """,
+pl AS (""" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM kf WHERE split IN ('warmup', 'train')" for c in BASELINE_FEATURES
+    ) + """),
+pmed AS (SELECT *, median(v) OVER (PARTITION BY feature) AS m FROM pl WHERE v IS NOT NULL),
+bl AS (SELECT feature, min(m) AS median, 1.4826*median(abs(v-m)) AS robust_scale, quantile_cont(v, 0.95) AS p95 FROM pmed GROUP BY 1)""",
+    "SELECT * FROM uf",
+    "true",
+)
 
 
 @query(
@@ -305,22 +318,20 @@ ZERO = judged_sql(SPREAD + "," + POPB, "SELECT * FROM feat", "true")
     q(ZERO, f"SELECT window_id, round(max_mad_z_score, 3) AS max_mad_z_score, p95_exceedance_count, {', '.join(TARGETS)} FROM tg"),
 )
 def zero_shot(spark, sf):
-    f = store(feature_table(spark, sf))
-    out = risk.unseen_cohorts(f, profiles.population_baseline(f)).where("cohort = 'zero_shot'")
+    out = risk.unseen_cohorts(store(feature_table(spark, sf))).where("cohort = 'zero_shot'")
     return rounded(out.select("window_id", "max_mad_z_score", "p95_exceedance_count", *TARGETS), 3, ["max_mad_z_score"])
 
 
 ADAPT = judged_sql(
-    NUMBERED + """,
-wf AS (SELECT f.*, tn.trip_no, tn.n_trips FROM feat f JOIN tn USING (user_id, trajectory_id)),
+    UNSEEN + """,
 al AS (""" + " UNION ALL ".join(
-        f"SELECT user_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM wf WHERE trip_no <= 7 AND n_trips > 7" for c in BASELINE_FEATURES
+        f"SELECT user_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM uf WHERE trip_no <= 7 AND n_trips > 7" for c in BASELINE_FEATURES
     ) + """),
 am AS (SELECT *, median(v) OVER (PARTITION BY user_id, feature) AS m FROM al WHERE v IS NOT NULL),
 bl AS (SELECT user_id, feature, CASE WHEN count(*) >= 10 THEN min(m) END AS median,
   CASE WHEN count(*) >= 10 THEN 1.4826*median(abs(v-m)) END AS robust_scale,
   CASE WHEN count(*) >= 10 THEN quantile_cont(v, 0.95) END AS p95 FROM am GROUP BY 1, 2)""",
-    "SELECT * FROM wf WHERE trip_no > 7 AND n_trips > 7", "b.user_id = w.user_id",
+    "SELECT * FROM uf WHERE trip_no > 7 AND n_trips > 7", "b.user_id = w.user_id",
 )
 
 
@@ -329,18 +340,27 @@ bl AS (SELECT user_id, feature, CASE WHEN count(*) >= 10 THEN min(m) END AS medi
     q(ADAPT, f"SELECT window_id, trip_no AS trip_index, round(max_mad_z_score, 3) AS max_mad_z_score, {', '.join(TARGETS)} FROM tg"),
 )
 def adapted(spark, sf):
-    f = store(feature_table(spark, sf))
-    out = risk.unseen_cohorts(f, profiles.population_baseline(f)).where("cohort = 'adapted'")
+    out = risk.unseen_cohorts(store(feature_table(spark, sf))).where("cohort = 'adapted'")
     out = out.withColumn("trip_index", F.col("trip_index").cast("bigint"))
     return rounded(out.select("window_id", "trip_index", "max_mad_z_score", *TARGETS), 3, ["max_mad_z_score"])
 
 
+PLANTED = WARM + """,
+ps AS (SELECT trajectory_id, split FROM ws UNION ALL
+  SELECT trajectory_id, 'test' FROM ws WHERE split = 'train' AND trip_no % 5 = 0),
+both_ AS (SELECT trajectory_id FROM ps WHERE split <> 'warmup' GROUP BY 1 HAVING count(DISTINCT split) > 1)"""
+
+
 @query(
     "rsk14_split_leak_audit",
-    q(WARM, """SELECT split, count(*) AS trips, 0 AS shared FROM ws WHERE split <> 'warmup' GROUP BY 1"""),
+    q(PLANTED, """SELECT split, count(*) AS trips, count(both_.trajectory_id) AS shared
+      FROM ps LEFT JOIN both_ USING (trajectory_id) WHERE split <> 'warmup' GROUP BY 1"""),
 )
 def leak_audit(spark, sf):
-    split = store(risk.warmup_split(numbered(spark, sf)).where("split <> 'warmup'"))
+    """A clean split with planted leaks (every fifth training trip is also put into test): the audit must find them."""
+    clean = risk.warmup_split(numbered(spark, sf)).select("trajectory_id", "trip_no", "split")
+    planted = clean.where("split = 'train' AND trip_no % 5 = 0").withColumn("split", F.lit("test"))
+    split = store(clean.unionByName(planted).where("split <> 'warmup'"))
     shared = risk.shared_trips(split)
     flagged = split.join(shared.withColumn("hit", F.lit(1)), "trajectory_id", "left")
     return flagged.groupBy("split").agg(
@@ -536,10 +556,10 @@ def best_models(spark, sf):
 
 @query(
     "mdl4_apply_calibration",
-    q(SCORED, "SELECT model, horizon_s, y, round(p, 9) AS p, round(1/(1+exp(-(4.2*p-1.7))), 6) AS calibrated FROM scored WHERE horizon_s = 360"),
+    q(SCORED, "SELECT model, horizon_s, y, round(p, 9) AS p, round(1/(1+exp(-(4.2*p-1.7))), 6) AS calibrated FROM scored"),
 )
 def apply_calibration(spark, sf):
-    s = scored(spark, sf).where("horizon_s = 360")
+    s = scored(spark, sf)
     return s.select(
         *MODEL_KEYS, "y", F.round("p", 9).alias("p"), F.round(metrics.calibrate("p", 4.2, -1.7), 6).alias("calibrated")
     )
@@ -548,50 +568,66 @@ def apply_calibration(spark, sf):
 # --- models ---------------------------------------------------------------------------------
 
 
+HORIZONS = RiskRules().horizons_s
+
+
 def _cohort(spark, sf):
-    k = store(risk.known_cohort(feature_table(spark, sf, 250)))
+    k = store(risk.known_cohort(feature_table(spark, sf, 250), extended=True))
     return {p: k.where(F.col("split") == p) for p in ("train", "val", "test")}
 
 
-def _smaller():
-    """Fewer rounds and trees than the library's defaults: these queries show the job, not the best fit."""
-    from tracewell.config import ModelRules
+def _fit(d, fit, h, **options):
+    return fit(d["train"], d["val"], h, **options)
 
-    return ModelRules(boosted_depth=3, wide_depth=4, forest_trees=10)
+
+def _predictions(spark, sf, fit, **options):
+    """Scores of the test rows at every horizon, long."""
+    d = _cohort(spark, sf)
+    return reduce(DataFrame.unionByName, [models.score(d["test"], _fit(d, fit, h, **options), h) for h in HORIZONS])
 
 
 @query("mdl1_boosted_predictions")
 def boosted(spark, sf):
-    d = _cohort(spark, sf)
-    return models.score(d["test"], models.fit_boosted(d["train"], d["val"], 120, _smaller(), rounds=5), 120)
+    return _predictions(spark, sf, models.fit_boosted)
 
 
 @query("mdl2_forest_predictions")
 def forest(spark, sf):
-    d = _cohort(spark, sf)
-    options = [{"numTrees": 8, "maxDepth": depth} for depth in (3, 5)]
-    return models.score(d["test"], models.fit_forest(d["train"], d["val"], 120, _smaller(), candidates=options), 120)
+    return _predictions(spark, sf, models.fit_forest)
 
 
 @query("mdl3_wide_boosted_predictions")
 def wide_boosted(spark, sf):
-    d = _cohort(spark, sf)
-    fitted = models.fit_boosted(d["train"], d["val"], 120, _smaller(), rounds=4, wide=True)
-    return models.score(d["test"], fitted, 120)
+    return _predictions(spark, sf, models.fit_boosted, wide=True)
+
 
+FIXED = judged_sql(
+    feat(250) + EXPAND.removeprefix(feat()),
+    "SELECT *, CASE WHEN split = 'train' THEN trip_no ELSE 0 END AS bno FROM wf WHERE split <> 'warmup'",
+    "b.user_id = w.user_id AND b.base_no = w.bno",
+)
 
-@query("mdl6_scores_by_horizon")
+
+@query(
+    "mdl6_scores_by_horizon",
+    q(FIXED, " UNION ALL ".join(
+        f"""SELECT window_id, user_id, trajectory_id, {h} AS horizon_s, target_{h}s AS y_true, true AS in_range, true AS rule_holds
+        FROM tg WHERE split = 'test'""" for h in HORIZONS
+    )),
+)
 def by_horizon(spark, sf):
-    k = store(risk.known_cohort(feature_table(spark, sf, 250), RiskRules(horizons_s=(120, 240))))
-    d = {p: k.where(F.col("split") == p) for p in ("train", "val", "test")}
-    outs = [
-        models.score(d["test"], models.fit_boosted(d["train"], d["val"], h, _smaller(), rounds=3), h)
-        for h in (120, 240)
-    ]
-    return outs[0].unionByName(outs[1])
+    """The fixed part of the scores: rows, truth, horizon, and that decision and probability agree."""
+    p = _predictions(spark, sf, models.fit_boosted)
+    inside = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return p.select(
+        "window_id", "user_id", "trajectory_id", "horizon_s", "y_true",
+        (inside("raw_probability") & inside("calibrated_probability")).alias("in_range"),
+        F.col("y_pred").eqNullSafe(F.col("calibrated_probability") >= F.col("threshold")).alias("rule_holds"),
+    )
 
 
 @query("mdl7_top_inputs")
 def top_inputs(spark, sf):
     d = _cohort(spark, sf)
-    return models.importances(models.fit_boosted(d["train"], d["val"], 120, _smaller(), rounds=5), spark)
+    each = [models.importances(_fit(d, models.fit_boosted, h), spark).withColumn("horizon_s", F.lit(h)) for h in HORIZONS]
+    return reduce(DataFrame.unionByName, each)
