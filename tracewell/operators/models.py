@@ -33,9 +33,9 @@ def design(df: DataFrame, columns: Sequence[str] = EXTENDED_PREDICTORS) -> DataF
 
 
 def weighted(df: DataFrame, label: str = "y") -> DataFrame:
-    """Positive rows weigh negatives/positives (1 without positives)."""
+    """Positive rows weigh negatives/positives (1 if all rows are of one class)."""
     counts = df.agg(F.count_if(F.col(label) == 1).alias("_p"), F.count("*").alias("_n"))
-    w = F.when((F.col(label) == 1) & (F.col("_p") > 0), (F.col("_n") - F.col("_p")) / F.col("_p"))
+    w = F.when((F.col(label) == 1) & (F.col("_p") > 0) & (F.col("_n") > F.col("_p")), (F.col("_n") - F.col("_p")) / F.col("_p"))
     return df.crossJoin(F.broadcast(counts)).withColumn("w", F.coalesce(w, F.lit(1.0))).drop("_p", "_n")
 
 

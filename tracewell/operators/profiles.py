@@ -81,18 +81,19 @@ def as_of(df: DataFrame, cutoffs: DataFrame, column: str = "end_time", strict: b
 
 
 def chosen_baselines(
-    users: DataFrame, personal: DataFrame, population: DataFrame, rules: RiskRules = RiskRules()
+    users: DataFrame, personal: DataFrame, population: DataFrame, rules: RiskRules = RiskRules(), keys=("user_id",)
 ) -> DataFrame:
     """Personal baseline from seven trips on, else the population's; says which was used.
 
-    ``users`` has ``user_id, trip_count, cold_start_status``.  The population side is eight rows.
+    ``users`` has ``keys`` (a user, or a user as of some trip), ``trip_count`` and ``cold_start_status``.  The population side is
+    eight rows.
     """
     stats = ("median", "mad", "robust_scale", "p95", "sample_size")
     pop = population.select("feature", *[F.col(c).alias(f"_pop_{c}") for c in stats])
     warm = F.coalesce(F.col("trip_count"), F.lit(0)) >= rules.warmup_trips
-    base = users.crossJoin(F.broadcast(pop)).join(personal, ["user_id", "feature"], "left")
+    base = users.crossJoin(F.broadcast(pop)).join(personal, [*keys, "feature"], "left")
     return base.select(
-        "user_id",
+        *keys,
         "feature",
         *[F.when(warm, F.col(c)).otherwise(F.col(f"_pop_{c}")).alias(c) for c in stats],
         F.when(warm, "PERSONALIZED").otherwise("COLD_START").alias("profile_mode"),

@@ -327,6 +327,18 @@ def shared_trips(split: DataFrame) -> DataFrame:
 # --- cohorts --------------------------------------------------------------------------------
 
 
+def _before(asked: DataFrame, past: DataFrame) -> DataFrame:
+    """Rows of ``past`` of the trips below each asked ``base_no`` of a user."""
+    return asked.join(past, "user_id").where(F.col("trip_no") < F.col("base_no")).drop("trip_no")
+
+
+def past_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
+    """Baseline per ``(user_id, base_no)`` from the user's trips before trip ``base_no``, for trips beyond the warm-up."""
+    past = windows.select("user_id", "trip_no", *BASELINE_FEATURES)
+    asked = windows.where(F.col("trip_no") > rules.warmup_trips).select("user_id", F.col("trip_no").alias("base_no")).distinct()
+    return empirical_baselines(_before(asked, past), ("user_id", "base_no"), rules)
+
+
 def expanding_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
     """Baseline per ``(user_id, base_no)`` from the learning trips numbered below ``base_no``.
 
@@ -334,14 +346,10 @@ def expanding_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> D
     and test.  An exact expanding median has no incremental form, so each train trip reads its
     user's past; the work is spread over ``(user, trip)``, not over users.
     """
-    past = windows.where("split IN ('warmup', 'train')").select(
-        "user_id", F.col("trip_no").alias("_h"), *BASELINE_FEATURES
-    )
-    asked = windows.where("split = 'train'").select(
-        "user_id", F.col("trip_no").alias("base_no")
-    ).distinct()
-    seen = asked.join(past, "user_id").where(F.col("_h") < F.col("base_no")).drop("_h")
-    frozen = past.withColumn("base_no", F.lit(0).cast("bigint")).drop("_h")
+    past = windows.where("split IN ('warmup', 'train')").select("user_id", "trip_no", *BASELINE_FEATURES)
+    asked = windows.where("split = 'train'").select("user_id", F.col("trip_no").alias("base_no")).distinct()
+    seen = _before(asked, past)
+    frozen = past.withColumn("base_no", F.lit(0).cast("bigint")).drop("trip_no")
     return empirical_baselines(
         seen.unionByName(frozen.select(*seen.columns)), ("user_id", "base_no"), rules
     )

@@ -14,30 +14,31 @@ def score_windows(
     zone_table: DataFrame,
     place_profiles: DataFrame,
     fitted: dict[int, models.Fitted],
+    population: DataFrame,
 ) -> DataFrame:
     """Window features to decisions, long by horizon.
 
-    Personal baselines are used from seven trips on, the population's before that.
+    A trip is compared with what was known before it began: the user's earlier trips from the eighth trip on, ``population`` (the
+    stored prior of the training users) before that.  Later trips change nothing.
     """
     trips = risk.numbered_trips(features).select("user_id", "trajectory_id", "trip_no")
-    users = trips.groupBy("user_id").agg(F.count("*").alias("trip_count")).withColumn(
-        "cold_start_status", F.lit(None).cast("string")
+    windows = store(features.join(trips, ["user_id", "trajectory_id"]))
+    key = ["user_id", "base_no"]
+    users = windows.select("user_id", F.col("trip_no").alias("base_no")).distinct().withColumns(
+        {"trip_count": F.col("base_no") - 1, "cold_start_status": F.lit(None).cast("string")}
     )
-    chosen = profiles.chosen_baselines(
-        users, profiles.empirical_baselines(features), profiles.population_baseline(features)
-    )
-    mode = chosen.groupBy("user_id").agg(F.max("profile_mode").alias("profile_mode"))
+    chosen = profiles.chosen_baselines(users, risk.past_baselines(windows), population, keys=key)
+    mode = chosen.groupBy(*key).agg(F.max("profile_mode").alias("profile_mode"))
     judged = (
-        risk.window_outliers(features, chosen)
-        .join(trips, ["user_id", "trajectory_id"])
-        .join(mode, "user_id")
+        risk.window_outliers(windows.withColumn("base_no", F.col("trip_no")), chosen, key)
+        .join(mode, key)
         .withColumns({
             "trip_index": F.col("trip_no"),
             "is_cold_start": (F.col("profile_mode") == "COLD_START").cast("int"),
         })
     )
     judged = store(judged.drop(*[c for c in judged.columns if c.startswith("b_")]))
-    inputs = store(risk.prediction_features(judged))
+    inputs = store(risk.prediction_features(judged, extended=True))
     at_end = judged.select(
         "window_id", "user_id", F.col("end_latitude").alias("latitude"), F.col("end_longitude").alias("longitude"),
     )

@@ -130,8 +130,7 @@ def spatial_context(spark, sf):
 
 STEP = hav("pla", "plo", "latitude", "longitude")
 LOOPS = READINGS + f""",
-org AS (SELECT user_id, arg_max(event_id, (t_us, event_id)) AS origin_id, max(t_us) AS origin_us
-  FROM readings GROUP BY user_id, trajectory_id, t_us // 120000000),
+org AS (SELECT user_id, event_id AS origin_id, t_us AS origin_us FROM readings),
 tk0 AS (SELECT o.origin_id, r.event_id, r.t_us, r.latitude, r.longitude, r.accuracy_m,
     row_number() OVER (PARTITION BY o.origin_id ORDER BY r.t_us DESC, r.event_id DESC) AS rr
   FROM org o JOIN readings r ON r.user_id = o.user_id AND r.t_us BETWEEN o.origin_us-1200000000 AND o.origin_us),
@@ -165,13 +164,9 @@ lp AS (SELECT *, CASE WHEN points < 6 OR gap > 300 THEN 'INSUFFICIENT_HISTORY' W
 
 
 def tracks(spark, sf):
-    r = adapter.readings(spark, sf).select(
-        "user_id", "trajectory_id", "event_id", "t_us", "latitude", "longitude", "accuracy_m"
-    )
-    origins = r.groupBy("user_id", "trajectory_id", F.expr("t_us div 120000000")).agg(
-        F.max(F.struct("t_us", "event_id")).alias("_o")
-    ).select("user_id", F.col("_o.event_id").alias("origin_id"), F.col("_o.t_us").alias("origin_us"))
-    return loops.trailing_tracks(r.drop("trajectory_id"), origins)
+    r = adapter.readings(spark, sf).select("user_id", "event_id", "t_us", "latitude", "longitude", "accuracy_m")
+    origins = r.select("user_id", F.col("event_id").alias("origin_id"), F.col("t_us").alias("origin_us"))
+    return loops.trailing_tracks(r, origins)
 
 
 def loop_rows(spark, sf):
@@ -364,14 +359,14 @@ def polling(spark, sf):
 @query("dec6_score_traces")
 def score_traces(spark, sf):
     """Points to windows, features, model scores, movement class, spatial context and decision."""
-    from tracewell.operators import models
+    from tracewell.operators import models, risk
     from tracewell.operators.scoring import score_windows
-    from tracewell.plans.risk_queries import _cohort, _smaller
+    from tracewell.plans.risk_queries import HORIZONS, _cohort
 
     d = _cohort(spark, sf)
-    fitted = models.fit_boosted(d["train"], d["val"], 120, _smaller(), rounds=3)
+    fitted = {h: models.fit_boosted(d["train"], d["val"], h) for h in HORIZONS}
     f = store(feature_table(spark, sf, 250))
-    return score_windows(f, adapter.zones(spark, sf), place_profiles(spark, sf), {120: fitted})
+    return score_windows(f, adapter.zones(spark, sf), place_profiles(spark, sf), fitted, risk.population_prior(risk.held_out(f)[0]))
 
 
 SUMMARY = feat() + """,
