@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import EARTH_RADIUS_M
@@ -73,7 +75,7 @@ def centroid_lon(x, y) -> Column:
 
 
 def circular_span(lons: Column) -> Column:
-    """Shortest arc in degrees that covers an array of distinct longitudes."""
+    """Shortest arc in degrees that covers a short array of distinct longitudes."""
     s = F.array_sort(lons)
     gaps = F.zip_with(
         F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))),
@@ -86,6 +88,26 @@ def circular_span(lons: Column) -> Column:
     return F.when(F.size(s) <= 1, F.lit(0.0)).otherwise(360.0 - widest)
 
 
+def circular_spans(df: DataFrame, keys: Sequence[str], lon: Column, bins: int = 3600) -> DataFrame:
+    """``keys`` and ``span_deg``: the shortest arc in degrees that covers all longitudes of a key.
+
+    The widest gap lies inside a bin or between the extremes of neighbouring bins.  A key has ``bins`` bins at most, so its rows
+    are dealt over as many groups and only the bins meet in one task.
+    """
+    keys = list(keys)
+    within = Window.partitionBy(*keys, "_bin").orderBy("_lon")
+    rows = df.select(*keys, lon.alias("_lon")).where("_lon is not null").distinct()
+    rows = rows.withColumn("_bin", F.floor((F.col("_lon") + 180.0) / (360.0 / bins)))
+    inner = rows.withColumn("_gap", F.col("_lon") - F.lag("_lon").over(within))
+    binned = inner.groupBy(*keys, "_bin").agg(F.min("_lon").alias("_a"), F.max("_lon").alias("_b"), F.max("_gap").alias("_gap"))
+    across = F.col("_a") - F.lag("_b").over(Window.partitionBy(*keys).orderBy("_bin"))
+    out = binned.withColumn("_across", across).groupBy(*keys).agg(
+        F.greatest(F.max("_across"), F.max("_gap"), 360.0 - (F.max("_b") - F.min("_a"))).alias("_widest"),
+        (F.max("_b") == F.min("_a")).alias("_one"),
+    )
+    return out.select(*keys, F.when(F.col("_one"), F.lit(0.0)).otherwise(360.0 - F.col("_widest")).alias("span_deg"))
+
+
 def hex_cell(lat, lon) -> Column:
     """Identifier of the hexagon that holds a position.
 

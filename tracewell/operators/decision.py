@@ -34,25 +34,16 @@ def operational_tier(score: Column, rules: ScoringRules = ScoringRules()) -> Col
     )
 
 
-def window_noise(user: Column, t_us: Column) -> Column:
-    """Repeatable number in [0, 1] of a user and a two-minute slot, from a SHA-256 digest."""
-    slot = F.floor(t_us / 120_000_000)
-    digest = F.sha2(F.concat_ws(":", user, slot.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967295.0
-
-
 def operational_score(readings: DataFrame) -> DataFrame:
     """Score, tier and lead time of a reading.
 
-    Needs ``user_id, t_us, speed_mps, is_degraded, pdr_tier`` (null when not tracked) and
-    ``cell_multiplier`` (null for a cell without dismissals).
+    Needs ``speed_mps, is_degraded, pdr_tier`` (null when not tracked), ``model_score`` (0 to 100, from the caller's model; null
+    without one, then speed alone counts) and ``cell_multiplier`` (null for a cell without dismissals).
     """
     tracked = F.lit(None).cast("double")
     for name, value in PDR_SCORES.items():
         tracked = F.when(F.col("pdr_tier") == name, value).otherwise(tracked)
-    moving = F.least(
-        F.lit(60.0), F.greatest(F.col("speed_mps"), F.lit(0.0)) * 12.0
-    ) + window_noise(F.col("user_id"), F.col("t_us")) * 40.0
+    moving = F.coalesce("model_score", F.least(F.lit(60.0), F.greatest(F.col("speed_mps"), F.lit(0.0)) * 12.0))
     raw = F.when(
         F.col("is_degraded") | F.col("pdr_tier").isNotNull(), F.coalesce(tracked, F.lit(15.0))
     ).otherwise(F.least(moving, F.lit(100.0)))

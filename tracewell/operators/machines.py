@@ -195,3 +195,8 @@ def escalation_machine(rules: EscalationRules = EscalationRules()) -> Machine:
     return _machine(
         states, ESCALATION_SYMBOLS, move, lambda s: f"{s[1]}|{s[0]}|{s[2]}|{int(s[3])}"
     )
+
+
+def held_score_floor(displacement: float) -> float:
+    """Least score while the signal is degraded, by displacement: 40 beyond 25 m, 75 beyond 50 m."""
+    return 75.0 if displacement > 50 else 40.0 if displacement > 25 else 0.0

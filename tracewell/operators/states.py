@@ -252,10 +252,13 @@ def escalation(readings: DataFrame, rules: EscalationRules = EscalationRules())
     """Operational level from movement patterns and heart rate.
 
     Needs ``is_degraded, engine_ok, inside_zone, window_evaluated, window_id, pattern,
-    confidence, is_corroborating_risk``; one row per user and time.
+    confidence, is_corroborating_risk``.  Of readings of a user with the same time the first counts.
     """
     live = ~F.col("is_degraded")
     day = time_chunk("t_us", 86_400)
+    # A reading with the time of the one before it is ignored.
+    timed = ordered_scan(readings, ["user_id"], ORDER, day, {"_before": previous(F.col("t_us"))})
+    readings = timed.where(~F.coalesce(F.col("_before") == F.col("t_us"), F.lit(False))).drop("_before")
     gaps = ordered_scan(
         readings, ["user_id"], ORDER, day, {"_seen": seen_before(F.when(live, F.col("t_us")))}
     )

@@ -323,7 +323,7 @@ def model_tiers(spark, sf):
 
 SCORE = READINGS + """,
 os0 AS (SELECT event_id, user_id, t_us, k, is_degraded, CASE WHEN is_degraded THEN CASE WHEN net_displacement_m > 50 THEN 75.0 WHEN net_displacement_m > 25 THEN 50.0 ELSE 15.0 END
-    ELSE least(100.0, least(60.0, speed_mps*12.0) + CAST(('0x' || substr(sha256(user_id || ':' || (t_us // 120000000)), 1, 8)) AS UBIGINT)::DOUBLE/4294967295.0*40.0) END
+    ELSE least(100.0, coalesce(CASE WHEN k % 4 <> 0 THEN (v % 101)::DOUBLE END, least(60.0, speed_mps*12.0))) END
     * CASE WHEN k % 6 = 0 THEN 0.8e0 ELSE 1.0e0 END AS raw FROM readings),
 os1 AS (SELECT *, round(greatest(0.0, least(100.0, raw)), 1) AS risk_score FROM os0),
 os AS (SELECT *, CASE WHEN risk_score <= 34 THEN 'QUIESCENT' WHEN risk_score <= 64 THEN 'NORMAL_TRANSIT' WHEN risk_score <= 84 THEN 'SUSPICIOUS' ELSE 'CRITICAL' END AS risk_tier FROM os1)"""
@@ -333,6 +333,7 @@ def operational(spark, sf):
     r = adapter.readings(spark, sf).withColumns({
         "pdr_tier": F.expr("CASE WHEN is_degraded THEN CASE WHEN net_displacement_m > 50 THEN 'UNTRACKED_DISPLACEMENT' WHEN net_displacement_m > 25 THEN 'ZONE_TRANSITION' ELSE 'INDOOR_PACING' END END"),
         "cell_multiplier": F.expr("CASE WHEN k % 6 = 0 THEN 0.8D END"),
+        "model_score": F.expr("CASE WHEN k % 4 <> 0 THEN CAST(v % 101 AS DOUBLE) END"),
     })
     return decision.operational_score(r)
 

@@ -78,6 +78,12 @@ def score_freeze(spark, sf):
     return jobs.frozen_scores(r).select("event_id", "risk_score", "past_blind_spot")
 
 
+@query("stm5_stream_score_freeze", q(FREEZE, """SELECT event_id, CASE WHEN NOT is_degraded THEN score WHEN net_displacement_m > 50 THEN greatest(coalesce(held, 20.0), 75.0)
+  WHEN net_displacement_m > 25 THEN greatest(coalesce(held, 20.0), 40.0) ELSE coalesce(held, 20.0) END AS risk_score FROM fh"""))
+def stream_score_freeze(spark, sf):
+    return monitored(spark, sf).select("event_id", F.col("frozen_score").alias("risk_score")).distinct()
+
+
 @query("stm6_evidence_status", q(CLOSED, """SELECT p.event_id, arg_max(c.window_id, c.last_us) AS window_id, CASE WHEN max(c.last_us) IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'WINDOW_EVALUATED' END AS evidence_status
   FROM pts p LEFT JOIN (SELECT * FROM cl WHERE NOT tailing OR timed_out) c ON c.user_id = p.user_id AND c.last_us < p.t_us GROUP BY 1"""))
 def evidence_status(spark, sf):

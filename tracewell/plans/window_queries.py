@@ -180,8 +180,7 @@ def centroid(spark, sf):
 )
 def circular_span(spark, sf):
     lon = F.round(F.expr("(longitude * 13.0D) % 360.0D - 180.0D"), 6)
-    g = adapter.points(spark, sf).groupBy("trajectory_id").agg(F.collect_set(lon).alias("lons"))
-    return g.select("trajectory_id", F.round(geo.circular_span(F.col("lons")), 5).alias("span_deg"))
+    return rounded(geo.circular_spans(adapter.points(spark, sf), ["trajectory_id"], lon), 5, ["span_deg"])
 
 
 HEX_SQL = """SELECT {cols}, 'h9_' || CAST(CASE WHEN dq > dr AND dq > ds THEN -rr-rs ELSE rq END AS BIGINT)

@@ -125,16 +125,23 @@ class TrailingHistory(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.track = handle.getListState("track", self.FIX)
+        self.clock = handle.getValueState("clock", "t_us bigint, event_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(r) for r in self.track.get()] if self.track.exists() else []
+        seen = tuple(self.clock.get()) if self.clock.exists() else (-1, -1)
         out = []
         for r in pd.concat(list(rows)).sort_values(["t_us", "event_id"]).itertuples():
+            now = (int(r.t_us), int(r.event_id))
+            if now <= seen:
+                continue  # late or repeated
+            seen = now
             kept.append((int(r.t_us), float(r.latitude), float(r.longitude)))
             oldest = int(r.t_us) - self.rules.history_s * 1_000_000
             kept = [p for p in kept if p[0] >= oldest][-self.rules.history_points:]
             out.append((key[0], int(r.event_id), len(kept), (kept[-1][0] - kept[0][0]) / 1e6))
         self.track.put(kept)
+        self.clock.update(seen)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "history_points", "history_s"])
 
 
@@ -171,6 +178,8 @@ class UserMonitor(StatefulProcessor):
             elif r.score is not None and not math.isnan(r.score):
                 last = (float(r.score), now[0])
             frozen = float(last[0]) if last else self.scoring.frozen_default
+            if r.is_degraded:  # a long displacement raises the held score
+                frozen = max(frozen, m.held_score_floor(float(r.net_displacement_m)))
             found = list(r.zone_distances) if r.zone_distances is not None else []
             poor = bool(r.is_degraded) or float(r.accuracy_m) > self.fence_rules.max_accuracy_m
             within = any(z["distance"] <= 0 for z in found)
