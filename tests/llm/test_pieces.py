@@ -71,3 +71,6 @@ def test_rows(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert got == sorted([(d, len(lib.encode(t or "")), d != 4) for d, t in rows], key=str)
     assert P.piece_digest(df.limit(0)).count() == 0
+    coded = P.decode(P.encode(df))
+    assert coded.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted(((r.doc_id, r.decoded) for r in coded.collect()), key=str) == sorted([(d, (t or "").replace("▁", " ")) for d, t in rows], key=str)

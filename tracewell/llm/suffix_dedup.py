@@ -284,13 +284,15 @@ def _sort_stretches(batches) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` as doc, alt, doc_id, text by key; runs doc, alt, start, stop of repeated windows, not merged)."""
+    """(``docs`` as doc, alt, doc_id, text; runs doc, alt, start, stop of repeated windows, not merged)."""
     own = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     # Ids that occur once need no second key; the check moves nothing but ids.
     again = not own.groupBy("doc_id").count().where("count > 1").isEmpty()
     keyed = own.select(
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
-        (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("alt"),
+        # Always zero without repeated ids, but no literal: a constant would be taken out of the join keys, and with it the chance
+        # that both joins below read one shuffle of the texts.
+        (F.xxhash64("text") if again else F.least(F.octet_length("text"), F.lit(0)).cast("long")).alias("alt"),
         "doc_id",
         "text",
     )
@@ -301,7 +303,6 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     position, far, near = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = classes.where("repeat").select("doc", "alt", (position - far).alias("start"), (position - near + WINDOW).alias("stop"))
 
-    by_key = keyed.repartition("doc", "alt")
     wanted = classes.where("not repeat").groupBy("doc", "alt").agg(F.collect_list(F.struct("gram", "place")).alias("wanted"))
 
     def fetch(batch):
@@ -313,9 +314,9 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             cut = [text[a:b] for a, b in zip((at - far).tolist(), (at - near + WINDOW).tolist())]
             yield record(schema, gram, np.full(len(gram), doc), np.full(len(gram), alt), place, cut)
 
-    stretches = map_batches(by_key.join(wanted, ["doc", "alt"]).select("doc", "alt", "text", "wanted"), fetch, "gram long, doc long, alt long, place long, bytes binary")
+    stretches = map_batches(keyed.join(wanted, ["doc", "alt"]), fetch, "gram long, doc long, alt long, place long, bytes binary")
     sorted_ = stretches.repartition("gram").sortWithinPartitions("gram", "doc", "alt", "place")
-    return by_key, whole.unionByName(sorted_.mapInArrow(_sort_stretches, "doc long, alt long, start long, stop long"))
+    return keyed, whole.unionByName(sorted_.mapInArrow(_sort_stretches, "doc long, alt long, start long, stop long"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     under one id are ordered by a hash of the text; rows that repeat both id and text are one document and all get its result.
     An empty table gives no rows; other columns are ignored.
     """
-    by_key, runs = repeated_runs(docs)
+    keyed, runs = repeated_runs(docs)
     spans = runs.groupBy("doc", "alt").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
@@ -351,5 +352,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             out.append((len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
         yield record(schema, batch.column("doc_id"), *zip(*out))
 
-    joined = by_key.join(spans, ["doc", "alt"], "left").select("doc_id", "text", "runs")
-    return map_batches(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    return map_batches(keyed.join(spans, ["doc", "alt"], "left"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
