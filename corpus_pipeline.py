@@ -40,10 +40,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the ids of the text, their number and whether they decode to the text again."""
-    coded = pieces.decode(pieces.encode(docs))
-    return coded.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip")
-    )
+    return pieces.round_trip(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [

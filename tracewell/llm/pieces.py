@@ -20,25 +20,27 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, slices, texts
+from tracewell.llm.common import slices, texts
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNIGRAM, BPE = 1, 2
 #: How far a missing character lies below the lowest score.
 MISSING = 10.0
+#: Bytes of text encoded at a time; their words are a far larger list.
+SLICE = 4_000_000
 #: Words whose pieces one worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Pairs of neighbours whose verdict one worker remembers.
 CACHE_PAIRS = 500_000
 _LOADED: dict[str, Pieces] = {}
+NO_CHILDREN: dict[str, int] = {}
 
 
 @dataclass(frozen=True)
@@ -81,20 +83,23 @@ class Pieces:
         self.floor = min(self.score.values(), default=0.0) - MISSING
         self.children: list[dict[str, int]] = []
         self.words: dict[str, bytes] = {}  # ids, four bytes each
+        self.missed: set[str] = set()
         self.pairs: dict[int, bool] = {}
 
     def _automaton(self) -> None:
         """Trie of the pieces with links to the longest proper suffix that is in it, and the pieces that end at each node."""
         self.names = [""]  # pieces by number; 0: start of a word
-        self.children = [{}]
+        self.children = [NO_CHILDREN]
         self.piece = [0]  # number of the piece that a node spells, or 0
         for name in self.score:
             node = 0
             for c in name:
                 after = self.children[node].get(c)
                 if after is None:
+                    if not self.children[node]:
+                        self.children[node] = {}
                     after = self.children[node][c] = len(self.children)
-                    self.children.append({})
+                    self.children.append(NO_CHILDREN)
                     self.piece.append(0)
                 node = after
             self.piece[node] = len(self.names)
@@ -145,7 +150,9 @@ class Pieces:
         score, last, nodes = [0.0], [0], [0]  # of each prefix of the word at hand
         forward = self._forward_bpe if self.bpe else self._forward_unigram
         for word in sorted(words):
-            keep = len(commonprefix((before, word)))
+            keep, most = 0, min(len(before), len(word))
+            while keep < most and before[keep] == word[keep]:
+                keep += 1
             del score[keep + 1 :], last[keep + 1 :], nodes[keep + 1 :]
             forward(word[keep:], score, last, nodes)
             yield word, self._ids(last)
@@ -222,20 +229,20 @@ class Pieces:
         if not self.children:
             self._automaton()
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in text]
-        known = self.words
+        known, full = self.words, len(self.words) >= CACHE_WORDS
         fresh = {w: self._parts(w) for w in {w for ws in cut for w in ws if w not in known}}
         part = dict(self.encode_words(list({p for ps in fresh.values() for p in ps})))
         packed = {p: array("i", ids).tobytes() for p, ids in part.items()}
         new = {w: packed[ps[0]] if len(ps) == 1 else b"".join(map(packed.__getitem__, ps)) for w, ps in fresh.items()}
-        if len(known) < CACHE_WORDS:
-            known.update(new)
-            get = known.__getitem__
-        else:
-            get = {**{w: known[w] for ws in cut for w in ws if w in known}, **new}.__getitem__
+        known.update(new)
         sizes, parts = [0], []
         for ws in cut:
-            parts.append(b"".join(map(get, ws)))
+            parts.append(b"".join(map(known.__getitem__, ws)))
             sizes.append(len(parts[-1]) // 4)
+        # Words that two batches in a row had to encode are worth keeping, the others go again.
+        for w in new.keys() if full else new.keys() - self.missed:
+            del known[w]
+        self.missed = set(new)
         return np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes)
 
     def decode(self, ids: list[int]) -> str:
@@ -266,12 +273,13 @@ def encode(docs: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
     """
     names = ["doc_id", "text", "ids"]
 
-    def run(batch):
-        ids, offsets = load(rules.model).encode([t or "" for t in batch.column("text").to_pylist()])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], names=names)
+    def run(batches):
+        for batch in slices(batches, SLICE):
+            ids, offsets = load(rules.model).encode([t or "" for t in batch.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], names=names)
 
-    return map_batches(texts(docs), run, "doc_id long, text string, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
@@ -289,16 +297,31 @@ def decode(encoded: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
     return left.mapInArrow(run, fields)
 
 
-def piece_digest(docs: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
-    """``doc_id, n_pieces, ids_sha256, round_trip``: encode, decode and compare every text.
+def round_trip(docs: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
+    """``doc_id, ids, round_trip``: :func:`encode` and :func:`decode` in the same task, without moving text or ids in between.
 
-    ``ids_sha256`` is taken over the ids in decimal, joined by commas.  ``round_trip`` is false only for texts that hold the word
-    mark itself, which decodes to a blank.
+    ``round_trip`` says whether the ids decode to the text (a null one: the empty text); it is false only for texts that hold the
+    word mark itself, which decodes to a blank.  Odd rows are treated as in :func:`encode`.
     """
-    both = decode(encode(docs, rules), rules)
-    return both.select(
+    names = ["doc_id", "ids", "round_trip"]
+
+    def run(batches):
+        model = load(rules.model)
+        for batch in slices(batches, SLICE):
+            text = [t or "" for t in batch.column("text").to_pylist()]
+            ids, offsets = model.encode(text)
+            same = [model.decode(ids[a:b].tolist()) == t for a, b, t in zip(offsets, offsets[1:], text)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(same, pa.bool_())], names=names)
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
+
+
+def piece_digest(docs: DataFrame, rules: PieceRules = PieceRules()) -> DataFrame:
+    """``doc_id, n_pieces, ids_sha256, round_trip`` of each row; the digest is over the ids in decimal, joined by commas."""
+    return round_trip(docs, rules).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+        "round_trip",
     )
