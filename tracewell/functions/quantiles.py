@@ -1,9 +1,9 @@
 """Exact percentiles (linear interpolation) that survive a group holding most of the rows.
 
-``percentile`` keeps every distinct value of a group in one buffer, so it is used only for groups
-of a checked size.  Groups above ``HOT_GROUP`` are cut into value bins from a mergeable sketch;
-only the bins that hold a wanted rank are ranked exactly.  The sketch decides where to look, never
-the answer, so the result is exact in both branches.
+One lazy path for groups of every size.  Equal values of a group are counted first, so copies collapse before any shuffle.  The
+counted values fall into buckets by a fixed, order-preserving rule; a group's buckets (a few hundred in practice) are summed from
+small to large, which tells the bucket and the place in it of every wanted rank, and only those buckets are put in order.  No
+value of a group is ever gathered, and nothing runs while the plan is being built.
 """
 
 from __future__ import annotations
@@ -14,116 +14,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import MAD_TO_SIGMA
-from tracewell.session import store
 
-HOT_GROUP = 1_000_000
-BINS = 512
+#: Buckets per doubling of a value.
+STEPS = 64
+#: Above the bucket number of the smallest positive double.
+SHIFT = 1100 * STEPS
 
 
-def narrow(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
-    """The keys and the value as a stored two-part table; later passes read only that."""
-    value = F.col(value) if isinstance(value, str) else value
-    return store(
-        df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    )
+def _bucket(v: Column) -> Column:
+    """Number of a value's bucket; never falls while the value rises."""
+    size = F.floor(F.log2(F.abs(v)) * STEPS) + SHIFT
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("bigint")
 
 
-def hot_groups(rows: DataFrame, keys: Sequence[str], hot_group: int) -> DataFrame | None:
-    """Groups above the limit with their size ``_n``, or None when there are none."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_group)
-    return None if sizes.isEmpty() else sizes
-
-
-def _summarise(
-    rows: DataFrame,
-    keys: list[str],
-    probs: Sequence[float],
-    hot: DataFrame | None,
-    bins: int,
-    extra: Sequence[Column] = (),
-) -> DataFrame:
-    """``n``, the percentile array ``q`` and any further aggregates of ``_v`` per key."""
-    probe = F.array(*[F.lit(float(p)) for p in probs])
-    direct = [F.count("*").alias("n"), F.percentile("_v", probe).alias("q"), *extra]
-    if hot is None:
-        return rows.groupBy(*keys).agg(*direct).where("n > 0")
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet too; without keys ``right`` is one row."""
     if not keys:
-        rows, hot, keyed = rows.withColumn("_all", F.lit(1)), hot.withColumn("_all", F.lit(1)), ["_all"]
-    else:
-        keyed = keys
-    # At most total/hot_group groups can be hot, which bounds the broadcast side.
-    calm = rows.join(F.broadcast(hot.select(*keyed)), keyed, "left_anti")
-    busy = rows.join(F.broadcast(hot), keyed)
-    ranked = _ranked(busy, keyed, probs, bins)
-    if extra:
-        ranked = ranked.join(busy.groupBy(*keyed).agg(*extra), keyed)
-    normal = calm.groupBy(*keyed).agg(*direct)
-    return normal.unionByName(ranked.select(*normal.columns)).drop("_all")
-
-
-def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str | Column,
-    probs: Sequence[float],
-    hot_group: int = HOT_GROUP,
-    bins: int = BINS,
-) -> DataFrame:
-    """One row per key with ``n`` (non-null values) and ``q``, an array aligned with ``probs``."""
-    keys = list(keys)
-    rows = narrow(df, keys, value)
-    return _summarise(rows, keys, probs, hot_groups(rows, keys, hot_group), bins)
+        return left.crossJoin(F.broadcast(right))
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def _ranked(rows: DataFrame, keys: list[str], probs: Sequence[float], bins: int) -> DataFrame:
-    cuts = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
-    splits = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 20000).alias("_cuts"))
-    tagged = rows.join(splits, keys).withColumn(
-        "_bin", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (F.col("_v") > c).cast("int"))
-    )
-    sizes = tagged.groupBy(*keys, "_n", "_bin").agg(F.count("*").alias("_size"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_below", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
-    wanted = sizes.select(
-        *keys,
-        "_n",
-        "_bin",
-        "_size",
-        "_below",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        side.alias("rank"),
-                        weight.alias("weight"),
-                    )
-                    for i, p in enumerate(probs)
-                    for side, weight in _neighbours(p)
-                ]
-            )
-        ).alias("_w"),
-    ).where((F.col("_w.rank") >= F.col("_below")) & (F.col("_w.rank") < F.col("_below") + F.col("_size")))
-    needed = wanted.select(*keys, "_bin", "_below").distinct()
-    # Equal values are counted, not repeated, so a bin full of copies stays one row.
-    held = tagged.join(needed, [*keys, "_bin"]).groupBy(
-        *keys, "_bin", "_below", "_v"
-    ).agg(F.count("*").alias("_c"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    held = held.withColumn("_end", F.col("_below") + F.sum("_c").over(inside)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
-    )
-    picked = held.join(wanted.select(*keys, "_bin", "_n", "_w"), [*keys, "_bin"]).where(
-        (F.col("_w.rank") >= F.col("_start")) & (F.col("_w.rank") < F.col("_end"))
-    )
-    each = picked.groupBy(*keys, "_n", F.col("_w.i").alias("_i")).agg(
-        F.sum(F.col("_v") * F.col("_w.weight")).alias("_q")
-    )
-    return each.groupBy(*keys, F.col("_n").alias("n")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]
-        ).alias("q")
-    )
+def _counted(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """``keys, _v, _c``: distinct values and how often they occur; nulls are left out."""
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*keys, (value.cast("double") + 0.0).alias("_v")).where(F.col("_v").isNotNull())
+    return rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+
+
+def _at_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row per key with ``n`` and the percentile array ``q``."""
+    keys = list(keys)
+    group = keys or [F.lit(0)]
+    rows = counted.withColumn("_b", _bucket(F.col("_v")))
+    order = Window.partitionBy(*group).orderBy("_b")
+    sizes = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.withColumns({
+        "_below": F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_n": F.sum("_size").over(Window.partitionBy(*group)),
+    })
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight"))
+        for i, p in enumerate(probs)
+        for rank, weight in _neighbours(p)
+    ])
+    held = F.filter(ranks, lambda w: (w["rank"] >= F.col("_below")) & (w["rank"] < F.col("_below") + F.col("_size")))
+    wanted = sizes.select(*keys, "_b", "_below", "_n", held.alias("_w")).where(F.size("_w") > 0)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    near = _join(rows, wanted, [*keys, "_b"]).withColumn("_end", F.col("_below") + F.sum("_c").over(inside))
+    hit = F.filter("_w", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_c")))
+    each = near.select(*keys, "_n", "_v", F.explode(hit).alias("_w"))
+    parts = [
+        F.sum(F.when(F.col("_w.i") == i, F.col("_v") * F.col("_w.weight"))).alias(f"_q{i}") for i in range(len(probs))
+    ]
+    picked = each.groupBy(*keys).agg(F.max("_n").alias("n"), *parts)
+    return picked.select(*keys, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("q")).where("n > 0")
 
 
 def _neighbours(p: float) -> list[tuple[Column, Column]]:
@@ -132,58 +78,61 @@ def _neighbours(p: float) -> list[tuple[Column, Column]]:
     return [(low, 1 - (at - low)), (F.least(low + 1, F.col("_n") - 1), at - low)]
 
 
-def spread(
-    df: DataFrame, keys: Sequence[str], value: str | Column, hot_group: int = HOT_GROUP, bins: int = BINS
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str | Column, probs: Sequence[float]) -> DataFrame:
+    """One row per key with ``n`` (non-null values) and ``q``, an array aligned with ``probs``."""
+    return _at_ranks(_counted(df, keys, value), keys, probs)
+
+
+def _about(counted: DataFrame, keys: Sequence[str], base: DataFrame) -> DataFrame:
+    """Sums over the counted values about the median ``_med`` of their key: ``mean``, ``min``, ``max`` and squares ``_ss``.
+
+    Distances from the median are short, so the squares do not cancel.
+    """
+    off = F.col("_v") - F.col("_med")
+    sums = _join(counted, base, keys).groupBy(*keys).agg(
+        F.sum("_c").alias("_m"), F.sum(off * F.col("_c")).alias("_s1"), F.sum(off * off * F.col("_c")).alias("_s2"),
+        F.max("_med").alias("_at"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+    )
+    mean = F.col("_at") + F.col("_s1") / F.col("_m")
+    squares = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_m"), F.lit(0.0))
+    return sums.select(*keys, mean.alias("mean"), "min", "max", squares.alias("_ss"), "_m")
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
     """Count, median, P95, P99, MAD, robust scale, mean, variance and minimum per key."""
     keys = list(keys)
-    rows = narrow(df, keys, value)
-    hot = hot_groups(rows, keys, hot_group)
-    moments = [F.avg("_v").alias("mean"), F.var_samp("_v").alias("variance"), F.min("_v").alias("min")]
-    base = _summarise(rows, keys, [0.5, 0.95, 0.99], hot, bins, moments).select(
-        *keys,
-        F.col("n").alias("sample_size"),
-        F.col("q")[0].alias("median"),
-        F.col("q")[1].alias("p95"),
-        F.col("q")[2].alias("p99"),
-        "mean",
-        "variance",
-        "min",
+    counted = _counted(df, keys, value)
+    base = _at_ranks(counted, keys, [0.5, 0.95, 0.99]).select(
+        *keys, F.col("n").alias("sample_size"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")
     )
     centre = base.select(*keys, F.col("median").alias("_med"))
-    # Without keys the centre is one row.
-    centred = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))
-    centred = centred.select(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v"))
-    mad = _summarise(centred, keys, [0.5], hot, bins).select(*keys, F.col("q")[0].alias("mad"))
-    joined = base.join(mad, keys) if keys else base.crossJoin(F.broadcast(mad))
-    return joined.withColumn("robust_scale", F.col("mad") * MAD_TO_SIGMA)
+    away = _join(counted, centre, keys).groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    mad = _at_ranks(away, keys, [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    whole = _join(_join(base, _about(counted, keys, centre), keys), mad, keys)
+    return whole.select(
+        *keys, "sample_size", "median", "p95", "p99", "mean",
+        F.when(F.col("_m") > 1, F.col("_ss") / (F.col("_m") - 1)).alias("variance"),
+        "min", "mad", (F.col("mad") * MAD_TO_SIGMA).alias("robust_scale"),
+    )
 
 
 STATS = ("count", "min", "max", "mean", "std", "p25", "p50", "p75", "p95", "p99")
 
 
-def distribution(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    sample_std: bool = False,
-    hot_group: int = HOT_GROUP,
-    bins: int = BINS,
-) -> DataFrame:
+def distribution(df: DataFrame, keys: Sequence[str], value: str, sample_std: bool = False) -> DataFrame:
     """Count, range, mean, deviation and five percentiles per key."""
     keys = list(keys)
-    rows = narrow(df, keys, value)
-    extra = [
-        F.min("_v").alias("min"),
-        F.max("_v").alias("max"),
-        F.avg("_v").alias("mean"),
-        (F.stddev_samp("_v") if sample_std else F.stddev_pop("_v")).alias("std"),
-    ]
-    probs = [0.25, 0.5, 0.75, 0.95, 0.99]
-    out = _summarise(rows, keys, probs, hot_groups(rows, keys, hot_group), bins, extra)
-    return out.select(
+    counted = _counted(df, keys, value)
+    ranked = _at_ranks(counted, keys, [0.25, 0.5, 0.75, 0.95, 0.99])
+    about = _about(counted, keys, ranked.select(*keys, F.col("q")[1].alias("_med")))
+    least = 1 if sample_std else 0
+    std = F.when(F.col("_m") > least, F.sqrt(F.col("_ss") / (F.col("_m") - least)))
+    return _join(ranked, about, keys).select(
         *keys,
         F.col("n").alias("count"),
-        *STATS[1:5],
+        "min",
+        "max",
+        "mean",
+        std.alias("std"),
         *[F.col("q")[i].alias(n) for i, n in enumerate(STATS[5:])],
     )
