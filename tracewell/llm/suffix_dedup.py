@@ -8,6 +8,7 @@ that hold all their equals:
    on the window's bytes alone, so equal windows have equal anchor grams at equal distance.  About one byte in 35 is an anchor;
    only anchors are shuffled, each with the range of windows it serves and a hash of the stretch those windows cover.
 2. Of anchors with the same gram and the same stretch only the earliest can be first: the windows of all others are repeats.
+   Most of them are found before the shuffle, batch by batch, so that a gram of very many copies is not dealt to one task.
    The earliest ones are left to compare only where one gram has several stretches - at the ends of repeated passages.
 3. For those the bytes of the stretches are fetched, and all suffixes (cut at ``WINDOW`` bytes) of one gram at one distance are
    sorted: shallow, by multikey quicksort on characters of eight bytes, all segments of one depth at a time, down to ``SHALLOW``
@@ -39,7 +40,9 @@ STRIDE = 4_000_000
 #: Stretches sorted at a time, if their gram groups allow.
 SORT_ROWS = 20_000
 LAST_ID = 2**63 - 1
-ANCHORS = pa.schema([(n, pa.int64()) for n in ("gram", "stretch", "doc", "alt", "place")])
+ANCHORS = pa.schema([*((n, pa.int64()) for n in ("gram", "stretch", "doc", "alt", "place")), ("again", pa.int32())])
+#: Groups over which anchors that are known to repeat are dealt.
+SALTS = 997
 
 
 # ---- anchors -----------------------------------------------------------------------------------------------------------------
@@ -97,8 +100,15 @@ def _anchor_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for gram, stretch, place in anchors(text):
             for c, x in zip(columns, (gram, stretch, np.full(len(gram), doc), np.full(len(gram), alt), place)):
                 c.append(x)
-    if columns[0]:
-        yield record(ANCHORS, *(np.concatenate(c) for c in columns))
+    if not columns[0]:
+        return
+    x = np.column_stack([np.concatenate(c) for c in columns])
+    x = x[np.lexsort(x.T[::-1])]
+    fresh = np.concatenate(([True], (x[1:] != x[:-1]).any(1)))
+    x = x[fresh]  # equal rows stem from repeated rows of the input
+    # Later ones of a stretch in this batch repeat the first; they only pass through the shuffle, so a group number spreads them.
+    again = np.concatenate(([False], (x[1:, :2] == x[:-1, :2]).all(1)))
+    yield record(ANCHORS, *x.T, np.where(again, 1 + x[:, 2] % SALTS, 0))
 
 
 # ---- equal stretches ---------------------------------------------------------------------------------------------------------
@@ -114,7 +124,13 @@ def _classes(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
+        known = batch.column("again").to_numpy(zero_copy_only=False) > 0
+        if known.any():
+            yield record(schema, x[known, 0], x[known, 2], x[known, 3], x[known, 4], np.ones(known.sum(), bool))
+            x = x[~known]
+        if not len(x):
+            continue
         x = x if before is None else np.concatenate((before[None], x))
         fresh = np.ones(len(x), bool)
         fresh[1:] = (x[1:] != x[:-1]).any(1)
@@ -297,8 +313,8 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "text",
     )
     long_enough = keyed.where(F.octet_length("text") >= WINDOW)
-    found = map_batches(long_enough.select("doc", "alt", "text"), _anchor_rows, "gram long, stretch long, doc long, alt long, place long")
-    dealt = found.repartition("gram").sortWithinPartitions("gram", "stretch", "doc", "alt", "place")
+    found = map_batches(long_enough.select("doc", "alt", "text"), _anchor_rows, "gram long, stretch long, doc long, alt long, place long, again int")
+    dealt = found.repartition("gram", "again").sortWithinPartitions("gram", "stretch", "doc", "alt", "place")
     classes = store(dealt.mapInArrow(_classes, "gram long, doc long, alt long, place long, repeat boolean"))
     position, far, near = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = classes.where("repeat").select("doc", "alt", (position - far).alias("start"), (position - near + WINDOW).alias("stop"))
