@@ -69,3 +69,27 @@ def test_replaced_text_has_no_entity_left(spark):
     before = docs.select(F.explode(F.regexp_extract_all("text", F.lit(P.PATTERN), F.lit(0))).alias("v")).distinct()
     after = P.pseudonymise(docs).select(F.explode(F.regexp_extract_all("text", F.lit(P.PATTERN), F.lit(0))).alias("v")).distinct()
     assert before.count() > 10 and before.join(after, "v").count() == 0 and after.count() == before.count()
+
+
+def test_bare_mentions_titles_and_number_forms(spark):
+    rows = [
+        (1, "Mr Robert Smith came. Smith said that ROBERT, Smith's friend, and Mr. J. Smith left."),
+        (2, "Frau Keller left. Keller said: Herr Prof. Dr. Weber-Lang and Dr. Novak agree; Lang nodded."),
+        (3, "Call 01 23 45 67 89, +33 1 23 45 67 89, +41791234567 or +1 9745553436; card 3782 822463 10005."),
+        (4, "Robert and Keller without any title; smith too. On 2024-01-01 12 34 56 things."),
+        (5, "John Robert Miller wrote; Miller's letter. Señora Ana de la Cruz, Cruz."),
+        (6, "Dr Smith, Robert@corp.example.com"),
+    ]
+    got = run(spark, rows)
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said that (\w+), (\w+)'s friend, and Mr\. J\. (\w+) left\.", got[1].text)
+    robert, smith, *rest = m.groups()
+    assert rest == [smith, robert.upper(), smith, smith] and robert != "Robert" and smith != "Smith" and got[1].n_entities == 6
+    m = re.fullmatch(r"Frau (\w+) left\. (\w+) said: Herr Prof\. Dr\. (\w+)-(\w+) and Dr\. (\w+) agree; (\w+) nodded\.", got[2].text)
+    keller, bare, weber, lang, novak, again = m.groups()
+    assert keller == bare and lang == again and not {keller, weber, lang, novak} & {"Keller", "Weber", "Lang", "Novak"}
+    m = re.fullmatch(r"Call (0\d(?: \d\d){4}), (\+3\d \d(?: \d\d){4}), (\+4\d{10}) or (\+1 \d{10}); card (3\d{3} \d{6} \d{5})\.", got[3].text)
+    assert got[3].n_entities == 5 and not set(m.groups()) & set(re.findall(r"\+?\d[\d ]+\d", rows[2][1])) and luhn(m[5].replace(" ", ""))
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
+    m = re.fullmatch(r"(\w+) (\w+) (\w+) wrote; (\w+)'s letter\. Señora (\w+) de la (\w+), (\w+)\.", got[5].text)
+    assert m[2] == robert and m[3] == m[4] != "Miller" and m[6] == m[7] != "Cruz" and m[1] != "John" and m[5] != "Ana"
+    assert got[6].text.startswith(f"Dr {smith}, ") and "Robert@" not in got[6].text

@@ -1,8 +1,8 @@
 """Surrogates for personal data with DataFrame functions only.
 
-Detected entities are e-mail addresses, phone, card and social security numbers, IPv4 addresses, given names (known ones before a
-capitalised word or after a title) and surnames (after a title or a known given name).  Each distinct entity of the whole table
-gets one replacement that a keyed hash draws:
+Detected entities are e-mail addresses, phone, card and social security numbers, IPv4 addresses and names: chains of capitalised
+words after a title or from a known given name on.  The words of a text's chains are replaced wherever they stand capitalised in
+that text.  Each distinct entity of the whole table gets one replacement that a keyed hash draws:
 
 * numbers keep their length, first digit, separators and - cards - whether the check digit is right; US social security numbers
   move to areas that are never issued, addresses to 10.0.0.0/8 first;
@@ -27,7 +27,9 @@ from tracewell.session import store
 # Fixed word lists: titles, given names by gender, syllables of invented names by script.
 TITLES = (
     "Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "Mlle", "господин",
-    "госпожа", "г-н", "г-жа", "κύριος", "κυρία",
+    "госпожа", "г-н", "г-жа", "κύριος", "κυρία", "Dr", "Dra", "Doctor", "Doctora", "Doktor", "Docteur", "Prof", "Professor",
+    "Professorin", "Professeur", "Profesor", "Profesora", "Mx", "Sir", "Dame", "Lady", "Lord", "Rev", "Herrn", "Fräulein", "Don", "Doña",
+    "доктор", "профессор", "проф", "д-р", "κύριε", "κυρίου", "κυρίας", "δρ", "καθηγητής", "καθηγήτρια",
 )
 GIVEN = {
     ("f", "latin"): ("Anna", "Maria", "Laura", "Julia", "Emma", "Sophie", "Claire", "Elena", "Lucia", "Carmen", "Sarah", "Emily", "Olivia", "Marie", "Ursula", "Alice"),
@@ -48,17 +50,30 @@ DOMAINS = ("example.com", "example.net", "example.org")
 
 KINDS = ("email", "ipv4", "card", "ssn", "phone", "given", "surname")
 _NAMES = f"(?iu:{'|'.join(n for names in GIVEN.values() for n in names)})"
-_CAPITAL = r"\p{Lu}[\p{L}]+"
-PATTERN = "|".join((
+#: Titles as listed, capitalised and in capitals.
+_TITLES = rf"(?:{'|'.join(sorted({f for t in TITLES for f in (t, t[0].upper() + t[1:], t.upper())}, reverse=True))})(?![\p{{L}}\p{{M}}])"
+_STARTS = "".join(sorted({f for t in TITLES for f in (t[0], t[0].upper())}))
+#: A capitalised word, anywhere and as a part of a name; what stands between two parts.
+_CAPITAL = r"(?<![\p{L}\p{M}])\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+"
+_WORD = rf"(?!{_TITLES}){_CAPITAL}"
+_NEXT = r"(?:-|\x20(?:\p{Lu}\.\x20?)*(?:(?:von|van|vom|zu|der|den|de|del|la|las|los|le|du|di|da|dos)\x20){0,3})"
+_NUMBERS = (
     r"(?<![\p{L}\p{N}._%+-])(?=[\p{L}\p{N}])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?=\d)(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     r"(?=\d)(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    r"(?=\d)(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
     r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?=[\d+(])(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
-    rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_NAMES})(?=\x20\p{{Lu}}\p{{L}})",
-    rf"(?=\p{{Lu}})(?<=(?:^|[^\p{{L}}-])(?:{'|'.join(TITLES)})\.?\x20){_CAPITAL}",
-    rf"(?=\p{{Lu}})(?<=(?:^|[^\p{{L}}])(?:{_NAMES})\x20){_CAPITAL}",
-))
+    r"(?=\+)(?<![\d+(])\+(?:\d{7,15}|\d{1,3}[ .-]\d{6,12})(?!\d)",
+    r"(?=[\d+])(?<![\d+(])(?<!\d[.-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,2}|0\d)(?:[ .-]\d{2}){4}(?!\d)",
+)
+CHAINS = (
+    rf"(?=[{_STARTS}])(?<![\p{{L}}\p{{M}}-]){_TITLES}\.?\x20(?:\p{{Lu}}\.\x20?)*(?:(?:von|van|de|del|la|le|du|di|da)\x20){{0,3}}{_WORD}(?:{_NEXT}{_WORD})*"
+    rf"|(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}]){_NAMES}(?![\p{{L}}\p{{M}}])(?:{_NEXT}{_WORD})+"
+)
+PATTERN = "|".join((*_NUMBERS, CHAINS))
+#: What can be replaced: the numbers and addresses, and capitalised words, of which only the words of chains are taken.
+TOKENS = "|".join((*_NUMBERS, _CAPITAL))
 
 
 @dataclass(frozen=True)
@@ -67,9 +82,9 @@ class SurrogateRules:
     rounds: int = 60
 
 
-def kind_of(value: Column) -> Column:
+def kind_of(value: Column, given_names: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
-    given = F.lower(value).isin([n.lower() for names in GIVEN.values() for n in names])
+    given = F.lower(value).isin([n.lower() for names in GIVEN.values() for n in names]) | F.array_contains(given_names, F.lower(value))
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
@@ -116,7 +131,7 @@ def _invented(digest: Column, script: str, count: Column) -> Column:
 
 def _name(kind: Column, plain: Column, digest: Column, attempt: Column) -> Column:
     """Given names: a known one first, then invented ones; surnames are invented.  Later draws have more syllables."""
-    out = F.lit(None).cast("string")
+    out, others = F.lit(None).cast("string"), F.when(F.lit(False), "")
     for (gender, script), names in GIVEN.items():
         if gender == "f":
             surname_gender = plain.rlike("(а|я|ου)$") if script != "latin" else F.lit(False)
@@ -130,7 +145,10 @@ def _name(kind: Column, plain: Column, digest: Column, attempt: Column) -> Colum
         out = F.when((kind == "given") & plain.isin([n.lower() for n in names]), given).when(
             (kind == "surname") & (_script(plain) == script) & surname_gender, surname
         ).otherwise(out)
-    return out
+        # Given names that are not listed have the gender of their ending.
+        female = plain.rlike("(a|ah|ia|ette|elle|а|я|α|η)$")
+        others = others.when((_script(plain) == script) & (female if gender == "f" else ~female), own)
+    return F.when((kind == "given") & out.isNull(), others).otherwise(out)
 
 
 def draw(kind: Column, plain: Column, attempt: Column, key: str) -> Column:
@@ -195,27 +213,41 @@ def pseudonymise(docs: DataFrame, rules: SurrogateRules = SurrogateRules()) -> D
 
     Texts without an entity, also null ones, stay as they are with ``n_entities`` 0.  The result depends on the text alone, so
     repeated rows and rows with a null ``doc_id`` need no care; all other columns stay, whatever their names; an empty table gives
-    no rows.  Names after a title or given name are found word by word; names without either are not found.
+    no rows.  A name that stands in a text without any title or known given name is not found there.  A word that is a given name
+    in any text is one in all, so it has one replacement.
     """
     plain = docs.drop("n_entities")
     names = plain.columns
     packed = plain.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
-    mentions = store(
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    chains = (
         packed.where(F.col("text").rlike(PATTERN))
-        .select(F.md5("text").alias("tid"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"))
-        .dropDuplicates(["tid"])
+        .select("text", F.array_join(every("text", CHAINS), "\n").alias("chains"))
+        .select("text", *(F.array_distinct(every("chains", p)).alias(c) for c, p in (("parts", _WORD), ("early", rf"{_WORD}(?=\x20)"))))
+        .select("text", *(F.transform(c, F.lower).alias(c) for c in ("parts", "early")))
+    )
+    token = F.transform(every("text", TOKENS), lambda v, i: F.struct(i.alias("at"), v.alias("value")))
+    taken = lambda t: ~t["value"].rlike(rf"^{_CAPITAL}$") | F.array_contains("parts", F.lower(t["value"]))
+    mentions = store(
+        chains.select(F.md5("text").alias("tid"), F.filter(token, taken).alias("found"), "early").dropDuplicates(["tid"])
     )
-    one = mentions.select("tid", F.posexplode("found").alias("at", "value"))
-    kind = kind_of(F.col("value"))
-    one = one.withColumn("kind", kind).withColumn("plain", plain_of(F.col("kind"), F.col("value")))
-    given = surrogates(one.select("kind", "plain"), rules)
-    shown = one.join(given, ["kind", "plain"]).select(
-        "tid", F.struct("at", render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("piece")
+    one = mentions.select("tid", "early", F.explode("found").alias("one")).select("tid", "early", "one.at", "one.value")
+    one = one.withColumn("kind", kind_of(F.col("value"), F.col("early")))
+    one = one.withColumn("plain", plain_of(F.col("kind"), F.col("value"))).withColumn("name", F.col("kind").isin("given", "surname"))
+    one = one.withColumn("family", F.when(F.col("name"), "name").otherwise(F.col("kind")))
+    real = store(one.groupBy("family", "plain").agg(F.min("kind").alias("kind")))
+    given = real.join(surrogates(real, rules), ["kind", "plain"])
+    shown = one.drop("kind").join(given, ["family", "plain"]).select(
+        "tid", F.struct("at", F.lit(0).alias("old"), render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("piece")
     )
-    new = shown.groupBy("tid").agg(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["new"]).alias("new"))
+    new = shown.groupBy("tid").agg(F.collect_list("piece").alias("new"))
     hit = packed.where(F.col("text").rlike(PATTERN)).withColumn("tid", F.md5("text")).join(new, "tid")
+    # Of the old and new forms of one token the new one comes first and stays.
+    old = F.transform(every("text", TOKENS), lambda v, i: F.struct(i.alias("at"), F.lit(1).alias("old"), v.alias("new")))
+    hit = hit.withColumn("both", F.array_sort(F.concat("new", old)))
+    keep = F.filter("both", lambda p, i: (i == 0) | (F.get(F.col("both"), i - 1)["at"] < p["at"]))
     woven = F.zip_with(
-        F.split(F.col("text"), PATTERN, -1), F.col("new"), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))
+        F.split(F.col("text"), TOKENS, -1), F.transform(keep, lambda p: p["new"]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))
     )
     changed = hit.select("row", F.array_join(woven, "").alias("text"), F.size("new").cast("long").alias("n_entities"))
     rest = packed.where(~F.coalesce(F.col("text").rlike(PATTERN), F.lit(False)))
