@@ -98,10 +98,11 @@ def evidence_status(windows: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def ingest(stream: DataFrame, zones: DataFrame, consent: DataFrame, path: str, checkpoint: str):
-    """The whole ingest: consent, state machines, operational score, history and alerts.
+    """Part of the ingest: consent, displacement tier, geofence, held score, history and alerts.
 
-    Returns the started query.  ``path`` receives ``history`` (append), ``wearables`` (append),
-    ``alerts`` (one open alert per user and cell, latest wins) and ``events``.
+    Returns the started query.  ``path`` receives ``events`` and ``history`` (append) and ``alerts``
+    (one per user, whatever the cell; latest wins).  Not done: wearables, the cell multiplier and the
+    operational score (``risk_score`` is the held score), escalation, loop and group steps.
     """
     monitored = monitor_stream(consented_stream(stream, consent), zones)
 
