@@ -11,8 +11,8 @@ that hold all their equals:
    Most of them are found before the shuffle, batch by batch, so that a gram of very many copies is not dealt to one task.
    The earliest ones are left to compare only where one gram has several stretches - at the ends of repeated passages.
 3. For those the bytes of the stretches are fetched, and all suffixes (cut at ``WINDOW`` bytes) of one gram at one distance are
-   sorted: shallow, by multikey quicksort on characters of eight bytes, all segments of one depth at a time, down to ``SHALLOW``
-   bytes; and deep, segments with that much in common by blind tries, which branch on single bytes and compare a suffix with one
+   sorted: shallow, word by word (eight bytes; one library sort of all segments of a depth, no partition by pivots), down to
+   ``SHALLOW`` bytes; and deep, segments with that much in common by blind tries, which branch on single bytes and compare a suffix with one
    leaf only.  Of equal suffixes the earliest stays.
 
 Gram and stretch hashes have 64 bits each; step 2 takes two stretches for equal if both agree, step 3 compares bytes.
