@@ -13,6 +13,7 @@ from tracewell.llm.line_quality import quality
 from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
+from tracewell.llm.spelling import spelling_variants
 from tracewell.llm.suffix_dedup import remove_repeats
 from tracewell.llm.surrogates import pseudonymise
 from tracewell.llm.token_counts import token_counts
@@ -89,4 +90,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(captures(pages), entries(pages))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their commoner spelling one edit away."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op10_url_filters"] = ORACLE
