@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import table
+from tracewell.llm.conversations import repair_conversations
 from tracewell.llm.decontaminate import matches
 from tracewell.llm.language import identify
 from tracewell.llm.line_quality import quality
@@ -90,6 +91,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(captures(pages), entries(pages))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents with their commoner spelling one edit away."""
