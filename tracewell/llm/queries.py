@@ -11,6 +11,7 @@ from tracewell.llm.conversations import repair_conversations
 from tracewell.llm.decontaminate import matches
 from tracewell.llm.language import identify
 from tracewell.llm.line_quality import quality
+from tracewell.llm.neighbours import search_embeddings
 from tracewell.llm.pieces import piece_digest
 from tracewell.llm.secrets import scan
 from tracewell.llm.simhash import near_duplicates
@@ -91,6 +92,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(captures(pages), entries(pages))
 
 
+@query
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector by inner product."""
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every damaged conversation."""
