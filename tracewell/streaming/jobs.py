@@ -10,9 +10,11 @@ from tracewell.operators import cleaning, decision, states
 from tracewell.operators.zones import with_zone_distances
 from tracewell.session import ROCKSDB_PROVIDER
 from tracewell.sources import sinks
-from tracewell.streaming.processors import TrailingHistory, UserMonitor, WindowBuilder
+from tracewell.streaming.processors import EvidenceMonitor, LatestFix, TrailingHistory, UserMonitor, WindowBuilder
 
 LATE = "300 seconds"
+#: User of the row that closes a stream.
+CLOSING_USER = "__closing__"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,21 +32,40 @@ def consented_stream(stream: DataFrame, consent: DataFrame) -> DataFrame:
     return cleaning.consented(stream, consent)
 
 
-def window_stream(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """Closed windows of ``user_id, event_id, event_time, t_us, latitude, longitude``."""
+def _timed(stream: DataFrame, handler, schema: str, late: str, *more: str) -> DataFrame:
     prepare(stream.sparkSession)
-    slim = stream.select("user_id", "event_id", "event_time", "t_us", "latitude", "longitude")
-    return slim.withWatermark("event_time", late).groupBy("user_id").transformWithStateInPandas(
-        WindowBuilder(), schemas.WINDOWS_OUT, "Append", "EventTime"
-    )
+    slim = stream.select("user_id", "event_id", "event_time", "t_us", "latitude", "longitude", *more)
+    return slim.withWatermark("event_time", late).groupBy("user_id").transformWithStateInPandas(handler, schema, "Append", "EventTime")
+
+
+def window_stream(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """Closed windows of ``user_id, event_id, event_time, t_us, latitude, longitude``.
+
+    Fixes count in event-time order if the watermark still admits them.  A row of :func:`closing_row` at the end of a stream closes
+    the windows that are still open.
+    """
+    return _timed(stream, WindowBuilder(), schemas.WINDOWS_OUT, late)
+
+
+def evidence_stream(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """Per reading the last window of its user that was closed by then; columns as for :func:`window_stream`."""
+    schema = "user_id string, event_id bigint, t_us bigint, window_id string, open_points bigint, evidence_status string"
+    return _timed(stream, EvidenceMonitor(), schema, late)
 
 
-def history_stream(stream: DataFrame) -> DataFrame:
+def history_stream(stream: DataFrame, late: str = LATE) -> DataFrame:
     """Extent of the trailing history at every reading."""
-    prepare(stream.sparkSession)
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        TrailingHistory(), "user_id string, event_id bigint, history_points int, history_s double", "Append", "None"
-    )
+    return _timed(stream, TrailingHistory(), "user_id string, event_id bigint, history_points int, history_s double", late)
+
+
+def closing_row(rows: DataFrame, after_s: int = 3600) -> DataFrame:
+    """One row far behind the newest of ``rows`` (a table with ``user_id, event_id, t_us``) under a user of its own.
+
+    Written last to a stream's source it moves the watermark past all other rows, so that nothing stays held back.
+    """
+    end = rows.agg((F.max("t_us") + after_s * 1_000_000).alias("t_us"))
+    typed = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("user_id", "event_id", "t_us")]
+    return end.select(F.lit(CLOSING_USER).alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), "t_us", *typed).select(*rows.columns)
 
 
 def monitor_stream(stream: DataFrame, zones: DataFrame) -> DataFrame:
@@ -62,39 +83,11 @@ def monitor_stream(stream: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-def latest_fix_stream(patients: DataFrame, fixes: DataFrame, max_age_s: int = 60) -> DataFrame:
-    """Patient readings with the companion fixes of the last minute; both sides expire.
-
-    The newest fix per reading is picked per micro-batch with :func:`newest_fix`.
-    """
-    p = patients.withWatermark("event_time", LATE).alias("p")
-    f = fixes.withWatermark("event_time", LATE).alias("f")
-    return p.join(
-        f,
-        F.expr(
-            "p.user_id = f.user_id AND f.event_time <= p.event_time "
-            f"AND f.event_time >= p.event_time - INTERVAL {max_age_s} SECONDS"
-        ),
-    ).select(
-        "p.user_id", "p.event_id", F.col("p.t_us").alias("t_us"),
-        F.struct("f.t_us", "f.event_id", "f.latitude", "f.longitude").alias("fix"),
-    )
-
-
-def newest_fix(batch: DataFrame) -> DataFrame:
-    return batch.groupBy("user_id", "event_id", "t_us").agg(F.max("fix").alias("fix"))
-
-
-def evidence_status(windows: DataFrame, readings: DataFrame) -> DataFrame:
-    """Per reading whether its user's stream has closed a window in the current segment."""
-    from tracewell.operators.asof import asof_last
-
-    closed = windows.select(
-        "user_id", F.col("last_us").alias("t_us"), F.lit(0).cast("bigint").alias("event_id"), "window_id"
-    )
-    seen = asof_last(readings, closed, ["user_id"], name="window")
-    status = F.when(F.col("window").isNull(), "INSUFFICIENT_EVIDENCE").otherwise("WINDOW_EVALUATED")
-    return seen.select("user_id", "event_id", "t_us", "window.window_id", status.alias("evidence_status"))
+def latest_fix_stream(patients: DataFrame, fixes: DataFrame, max_age_s: int = 60, late: str = LATE) -> DataFrame:
+    """Every patient reading with the newest companion fix of the last minute (nulls without one), in one keyed handler."""
+    both = patients.withColumn("is_reading", F.lit(True)).unionByName(fixes.withColumn("is_reading", F.lit(False)))
+    schema = "user_id string, event_id bigint, t_us bigint, fix_us bigint, fix_event bigint, latitude double, longitude double"
+    return _timed(both, LatestFix(max_age_s), schema, late, "is_reading")
 
 
 def ingest(stream: DataFrame, zones: DataFrame, consent: DataFrame, path: str, checkpoint: str):

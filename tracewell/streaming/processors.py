@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from tracewell import schemas
 from tracewell.config import (
     EARTH_RADIUS_M,
     GeofenceRules,
@@ -17,6 +18,7 @@ from tracewell.config import (
     SegmentRules,
 )
 from tracewell.operators import machines as m
+from tracewell.streaming.ordered import OrderedProcessor
 
 
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -28,121 +30,123 @@ def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
 
 
-class WindowBuilder(StatefulProcessor):
-    """Segment-anchored windows of a user's stream.
+class WindowBuilder(OrderedProcessor):
+    """Segment-anchored windows of a user's stream, in event-time order.
 
-    A window is emitted when a later fix of the segment falls behind its end, when the gap to the
-    next fix ends the segment, or when event time has passed the gap limit.  Fixes that are not
-    newer than the last one are ignored.
+    A window is emitted when a later fix of the segment falls behind its end, when the gap to the next fix ends the segment, or when
+    event time has passed the gap limit.  A silent user's numbers are kept for ``lifetime_s``; after that segments start from zero.
     """
 
-    OPEN = (
+    ROW = "t_us bigint, event_id bigint, latitude double, longitude double"
+    MEMORY = (
         "seg int, seg_start bigint, win int, first_us bigint, last_us bigint, n bigint, path double, "
-        "lat double, lon double, sent_seg int, sent_win int"
+        "lat double, lon double, sent_seg int, sent_win int, sent_id string"
     )
+    COLUMNS = tuple(f.split()[0] for f in schemas.WINDOWS_OUT.split(", "))
 
-    def __init__(self, rules: SegmentRules = SegmentRules()):
+    def __init__(self, rules: SegmentRules = SegmentRules(), lifetime_s: int = 366 * 86_400):
+        super().__init__(lifetime_s)
         self.rules = rules
+        self.width, self.gap = rules.window_s * 1_000_000, int(rules.max_gap_s * 1_000_000)
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", self.OPEN)
-
-    def _emit(self, user: str, s: dict, full: bool) -> dict:
+    def _emit(self, user: str, s: dict, full: bool) -> tuple:
         follows = s["sent_seg"] == s["seg"] and s["sent_win"] == s["win"] - 1
         s["sent_seg"], s["sent_win"] = s["seg"], s["win"]
-        return {
-            "user_id": user,
-            "window_id": f"{user}_stream_s{s['seg']:03d}_w{s['win']:04d}",
-            "segment_index": s["seg"],
-            "window_index": s["win"],
-            "point_count": s["n"],
-            "first_us": s["first_us"],
-            "last_us": s["last_us"],
-            "path_distance_m": s["path"],
-            "is_full_window": full,
-            "follows_previous": follows,
-        }
+        s["sent_id"] = f"{user}_stream_s{s['seg']:03d}_w{s['win']:04d}"
+        return user, s["sent_id"], s["seg"], s["win"], s["n"], s["first_us"], s["last_us"], s["path"], full, follows
 
     def _closes_full(self, s: dict) -> bool:
-        length = s["last_us"] - s["seg_start"]
-        return length == (s["win"] + 1) * self.rules.window_s * 1_000_000
+        return s["last_us"] - s["seg_start"] == (s["win"] + 1) * self.width
+
+    def step(self, key, s: dict, row: dict) -> list[tuple]:
+        t, lat, lon, out = row["t_us"], row["latitude"], row["longitude"], []
+        if s["seg"] is None or t - s["last_us"] > self.gap:
+            if s["n"]:
+                out.append(self._emit(key[0], s, self._closes_full(s)))
+            s.update(seg=0 if s["seg"] is None else s["seg"] + 1, seg_start=t, win=0, first_us=t, last_us=t, n=1, path=0.0, lat=lat, lon=lon)
+            return out
+        win = (t - s["seg_start"]) // self.width
+        if win > s["win"]:
+            out.append(self._emit(key[0], s, True))
+            s.update(win=win, first_us=t, n=1, path=0.0)
+        else:
+            s.update(n=s["n"] + 1, path=s["path"] + metres(s["lat"], s["lon"], lat, lon))
+        s.update(last_us=t, lat=lat, lon=lon)
+        return out
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        fixes = pd.concat(list(rows)).sort_values(["t_us", "event_id"])
-        held = self.open.get() if self.open.exists() else None
-        names = [f.split()[0] for f in self.OPEN.split(", ")]
-        s = dict(zip(names, held)) if held else None
-        width, gap = self.rules.window_s * 1_000_000, int(self.rules.max_gap_s * 1_000_000)
-        out = []
-        for t, lat, lon in zip(fixes["t_us"], fixes["latitude"], fixes["longitude"]):
-            t, lat, lon = int(t), float(lat), float(lon)
-            if s is not None and t < s["last_us"]:
-                continue
-            if s is None or t - s["last_us"] > gap:
-                if s is not None and s["n"] > 0:
-                    out.append(self._emit(user, s, self._closes_full(s)))
-                s = {
-                    "seg": 0 if s is None else s["seg"] + 1, "seg_start": t, "win": 0, "first_us": t,
-                    "last_us": t, "n": 1, "path": 0.0, "lat": lat, "lon": lon,
-                    "sent_seg": -1 if s is None else s["sent_seg"], "sent_win": -1 if s is None else s["sent_win"],
-                }
-                continue
-            win = (t - s["seg_start"]) // width
-            if win > s["win"]:
-                out.append(self._emit(user, s, True))
-                s.update(win=win, first_us=t, n=1, path=0.0)
-            else:
-                s.update(n=s["n"] + 1, path=s["path"] + metres(s["lat"], s["lon"], lat, lon))
-            s.update(last_us=t, lat=lat, lon=lon)
-        self.open.update(tuple(s[n] for n in names))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((s["last_us"] + gap) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            names = [f.split()[0] for f in self.OPEN.split(", ")]
-            s = dict(zip(names, self.open.get()))
-            if s["n"] > 0:
-                row = self._emit(key[0], s, self._closes_full(s))
-                # The segment number is kept so that the next fix starts the next segment.
-                s["n"] = 0
-                self.open.update(tuple(s[n] for n in names))
-                yield pd.DataFrame([row])
-
-
-class TrailingHistory(StatefulProcessor):
-    """Keeps the last 1,200 s and 500 fixes of a user and reports their extent per reading."""
+    def wanted(self, s: dict) -> int | None:
+        return s["last_us"] + self.gap if s["n"] else None
+
+    def idle(self, key, s: dict) -> list[tuple]:
+        row = self._emit(key[0], s, self._closes_full(s))
+        s["n"] = 0  # the segment number is kept, so that the next fix starts the next segment
+        return [row]
+
+
+class EvidenceMonitor(WindowBuilder):
+    """One row per reading, from the window state: the last window closed by then, or that evidence still accumulates."""
 
+    COLUMNS = ("user_id", "event_id", "t_us", "window_id", "open_points", "evidence_status")
+
+    def step(self, key, s: dict, row: dict) -> list[tuple]:
+        super().step(key, s, row)
+        status = "WINDOW_EVALUATED" if s["sent_id"] else "INSUFFICIENT_EVIDENCE"
+        return [(key[0], row["event_id"], row["t_us"], s["sent_id"], s["n"], status)]
+
+    def idle(self, key, s: dict) -> list[tuple]:
+        super().idle(key, s)
+        return []
+
+
+class TrailingHistory(OrderedProcessor):
+    """Keeps the last 1,200 s and 500 fixes of a user and reports their extent per reading; a silent user's track is dropped."""
+
+    ROW = "t_us bigint, event_id bigint, latitude double, longitude double"
+    COLUMNS = ("user_id", "event_id", "history_points", "history_s")
     FIX = "t_us bigint, latitude double, longitude double"
 
     def __init__(self, rules: LoopRules = LoopRules()):
+        super().__init__(rules.history_s)
         self.rules = rules
 
-    def init(self, handle) -> None:
-        self.track = handle.getListState("track", self.FIX)
-        self.clock = handle.getValueState("clock", "t_us bigint, event_id bigint")
+    def prepare(self) -> None:
+        self.track = self.handle.getListState("track", self.FIX)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def forget(self) -> None:
+        self.track.clear()
+
+    def step(self, key, memory: dict, row: dict) -> list[tuple]:
         kept = [tuple(r) for r in self.track.get()] if self.track.exists() else []
-        seen = tuple(self.clock.get()) if self.clock.exists() else (-1, -1)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["t_us", "event_id"]).itertuples():
-            now = (int(r.t_us), int(r.event_id))
-            if now <= seen:
-                continue  # late or repeated
-            seen = now
-            kept.append((int(r.t_us), float(r.latitude), float(r.longitude)))
-            oldest = int(r.t_us) - self.rules.history_s * 1_000_000
-            kept = [p for p in kept if p[0] >= oldest][-self.rules.history_points:]
-            out.append((key[0], int(r.event_id), len(kept), (kept[-1][0] - kept[0][0]) / 1e6))
+        kept.append((row["t_us"], row["latitude"], row["longitude"]))
+        oldest = row["t_us"] - self.rules.history_s * 1_000_000
+        kept = [p for p in kept if p[0] >= oldest][-self.rules.history_points :]
         self.track.put(kept)
-        self.clock.update(seen)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "history_points", "history_s"])
+        memory["last_us"] = row["t_us"]
+        return [(key[0], row["event_id"], len(kept), (kept[-1][0] - kept[0][0]) / 1e6)]
+
+
+class LatestFix(OrderedProcessor):
+    """As-of join in the stream: at every patient reading the newest companion fix, if it is not older than ``max_age_s``.
+
+    A fix with the time of a reading counts for it.  The fix is forgotten when it can serve no reading any more.
+    """
+
+    ROW = "t_us bigint, event_id bigint, is_reading boolean, latitude double, longitude double"
+    ORDER = ("is_reading", "event_id")
+    MEMORY = "fix_us bigint, fix_event bigint, latitude double, longitude double"
+    COLUMNS = ("user_id", "event_id", "t_us", "fix_us", "fix_event", "latitude", "longitude")
+
+    def __init__(self, max_age_s: int = 60):
+        super().__init__(max_age_s)
+        self.age_us = max_age_s * 1_000_000
+
+    def step(self, key, memory: dict, row: dict) -> list[tuple]:
+        if not row["is_reading"]:
+            memory.update(fix_us=row["t_us"], fix_event=row["event_id"], latitude=row["latitude"], longitude=row["longitude"])
+            return []
+        fresh = memory["fix_us"] is not None and row["t_us"] - memory["fix_us"] <= self.age_us
+        fix = tuple(memory[n] if fresh else None for n in self.names)
+        return [(key[0], row["event_id"], row["t_us"], *fix)]
 
 
 class UserMonitor(StatefulProcessor):
