@@ -32,7 +32,9 @@ DAMAGE = 199
 RATIO = 5
 #: Occurrences grow by RATIO with every form, so a chain of forms in 64-bit counts is shorter than 2 ** ROUNDS.
 ROUNDS = 5
-KEYS = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("word", pa.string()), ("key", pa.int64())])
+KEYS = pa.schema([("id", pa.int64()), ("length", pa.int32()), ("word", pa.string()), ("pivot", pa.bool_()), ("key", pa.int64())])
+#: Most prefix keys of a word that they carry with them.
+CARRIED = 64
 #: Of the hashes of beginnings and ends of words.
 BASE, MODULUS = 1_000_003, 2**61 - 1
 
@@ -101,7 +103,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n`` for every two rows of ``words(id, word, n)`` that differ by one code point, both ways round.
 
     A word has three letters or more.  The alphabet has 90 letters after lower-casing, so the table of bigram frequencies has 8,100
-    rows at most.  A word that repeats a bigram may have many prefix keys, so these carry its id alone.
+    rows at most.  Prefix keys carry their word, so a pair is verified where it meets; only a word that repeats a bigram can have more
+    than CARRIED keys, and of such a word they carry the id alone and the pairs that meet fetch it.
     """
 
     def count(batch):
@@ -112,21 +115,25 @@ def near_pairs(words: DataFrame) -> DataFrame:
     frequency = {r.g: r.n for r in grams.groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
     def run(batch):
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for at, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist()):
             for pivot, keys in zip((True, False), gram_keys(word, frequency)):
+                carried = word if len(keys) <= CARRIED else None
                 for key in keys:
-                    for column, value in zip(out, (at, len(word), word if pivot else None, key)):
+                    for column, value in zip(out, (at, len(word), carried, pivot, key)):
                         column.append(value)
         yield record(KEYS, *out)
 
-    keys = map_batches(words.select("id", "word"), run, "id long, length int, word string, key long")
-    a = keys.where("word is not null").select("key", F.col("id").alias("a"), F.col("length").alias("a_length"), F.col("word").alias("a_word"))
-    b = keys.where("word is null").select("key", F.col("id").alias("id"), F.col("length").alias("b_length"))
-    met = a.join(b, "key").where((F.col("a") != F.col("id")) & (F.col("a_length") - F.col("b_length")).between(-1, 1))
-    met = met.select("a_word", "id").join(words, "id").where(F.levenshtein("a_word", "word", 1) == 1).select("a_word", F.col("word").alias("b_word"))
+    keys = map_batches(words.select("id", "word"), run, "id long, length int, word string, pivot boolean, key long")
+    a = keys.where("pivot").select("key", F.col("id").alias("a"), F.col("length").alias("a_length"), F.col("word").alias("a_word"))
+    b = keys.where("not pivot").select("key", "id", F.col("length").alias("b_length"), F.col("word").alias("b_word"))
+    apart = (F.col("a") != F.col("id")) & (F.col("a_length") - F.col("b_length")).between(-1, 1)
+    close = F.levenshtein("a_word", "b_word", 1) == 1
+    met = a.join(b.where("b_word is not null"), "key").where(apart & close).select("a_word", "b_word")
+    far = a.join(b.where("b_word is null").drop("b_word"), "key").where(apart).select("a_word", "id")
+    found = met.unionByName(far.join(words.select("id", F.col("word").alias("b_word")), "id").where(close).select("a_word", "b_word"))
     both = F.explode(F.array(F.struct(F.col("a_word").alias("word"), F.col("b_word").alias("near")), F.struct(F.col("b_word").alias("word"), F.col("a_word").alias("near"))))
-    pairs = met.select(both.alias("p")).select("p.*").distinct()
+    pairs = found.select(both.alias("p")).select("p.*").distinct()
     return pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").join(words.select("word", "n"), "word")
 
 
