@@ -86,6 +86,16 @@ def geofence_machine(rules: GeofenceRules = GeofenceRules()) -> Machine:
     return _machine(states, 16, move, lambda s: s[0])
 
 
+def fence_report(was: str, now: str, poor: bool) -> tuple[str, str]:
+    """Alert action and evaluation status of one step between two named boundary states."""
+    if poor:
+        return "NONE", "INSUFFICIENT_GPS"
+    status = "BREACH_ACTIVE" if now == "BREACHED" else "NORMAL"
+    if (now in OPEN_BREACH) != (was in OPEN_BREACH):
+        return ("ALERT_TRIGGERED" if now in OPEN_BREACH else "ALERT_RESOLVED"), status
+    return ("ALERT_UPDATED" if now == "BREACHED" else "NONE"), status
+
+
 # --- loop alerts ----------------------------------------------------------------------------
 
 LOOPING, CORROBORATED, RELEASE, CLOSED = 1, 2, 4, 8
@@ -114,6 +124,18 @@ def loop_machine(quiet_readings: int = 2) -> Machine:
     return _machine(states, 16, move, label)
 
 
+def loop_action(was: str, now: str, looping: bool, closed: bool) -> str:
+    """Alert action of one step between two labels of the loop machine."""
+    shut = closed or was.endswith("_CLOSED")
+    if looping:
+        return "ALERT_TRIGGERED" if was == "NONE" or shut else "ALERT_UPDATED"
+    return "ALERT_RESOLVED" if was != "NONE" and now == "NONE" and not shut else "NONE"
+
+
+def loop_tier(label: str) -> int | None:
+    return None if label == "NONE" else int(label.removeprefix("OPEN_T")[0])
+
+
 # --- group separation -----------------------------------------------------------------------
 
 # CLOSED (8) keeps its meaning here, so held readings use their own bit.
@@ -149,6 +171,15 @@ def group_machine(rules: GroupRules = GroupRules()) -> Machine:
     return _machine(states, 16, move, lambda s: f"{s[0]}|{s[2]}")
 
 
+def group_action(was: str, now: str, closed: bool) -> str:
+    """Alert action of one step, which was not held, between two labels of the group machine."""
+    live = was.split("|")[1] in ("t2", "t3") and not closed
+    name = now.split("|")[0]
+    if name == "SEPARATED":
+        return "ALERT_UPDATED" if live else "ALERT_TRIGGERED"
+    return "ALERT_RESOLVED" if name == "WITH_COMPANION" and live else "NONE"
+
+
 # --- behavior escalation --------------------------------------------------------------------
 
 DEGRADED, GAP, EXPIRED, SAME_WINDOW = 1, 2, 4, 8

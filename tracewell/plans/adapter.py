@@ -160,3 +160,24 @@ def wearables(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CASE WHEN k % 5 = 0 THEN 'OFF_WRIST' ELSE 'ON_WRIST' END").alias("wear_state"),
         F.lit("NOMINAL").alias("sensor_status"),
     )
+
+
+def arrivals(spark: SparkSession, rows: DataFrame, slices: int = 5) -> DataFrame:
+    """``rows`` as a stream of several micro-batches, many rows late but within 240 s, and a last row that closes the stream.
+
+    A row arrives up to 240 s after its time; the arrivals are cut into slices, which are written one after the other.
+    """
+    from tracewell.session import scratch_dir
+    from tracewell.streaming.jobs import closing_row
+
+    path = scratch_dir(spark)
+    late = rows.withColumn("_at", F.expr("t_us + pmod(xxhash64(event_id), 240) * 1000000"))
+    cuts = late.agg(F.percentile_approx("_at", [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    no = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    late.withColumn("_slice", no).drop("_at").write.partitionBy("_slice").parquet(f"{path}/cut")
+    cut = spark.read.parquet(f"{path}/cut")
+    for i in range(slices):
+        cut.where(F.col("_slice") == i).select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    closing_row(rows).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return stream.withColumn("event_time", F.timestamp_micros("t_us"))

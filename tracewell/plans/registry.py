@@ -41,6 +41,7 @@ def load() -> None:
     from tracewell.plans import (  # noqa: F401
         context_queries,
         ingest_queries,
+        online_queries,
         profile_queries,
         risk_queries,
         serving_queries,

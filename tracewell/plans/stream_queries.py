@@ -35,26 +35,28 @@ def live(spark, sf) -> DataFrame:
 
 
 STREAM_WIN = win(1000).replace("uid || '_' || (us // 259200000000) AS trajectory_id", "uid || '_stream' AS trajectory_id")
-CLOSED = STREAM_WIN + """,
-cl AS (SELECT *, lag(window_index) OVER (PARTITION BY trajectory_id, segment_index ORDER BY window_index) AS before,
-    window_index = max(window_index) OVER (PARTITION BY trajectory_id, segment_index) AS tailing,
-    (last_us + 300000000) // 1000 + 1 <= (SELECT max(t_us) // 1000 - 300000 FROM pts) AS timed_out FROM win)"""
 
 
-@query("stm1_stream_windows", q(CLOSED, """SELECT window_id, point_count, first_us, last_us, is_full AS is_full_window FROM cl WHERE NOT tailing OR timed_out"""))
+def staged(spark, sf, *more: str) -> DataFrame:
+    """All readings in several micro-batches, many of them late."""
+    r = adapter.readings(spark, sf).select("user_id", "event_id", "t_us", "latitude", "longitude", *more)
+    return adapter.arrivals(spark, r)
+
+
+@query("stm1_stream_windows", q(STREAM_WIN, "SELECT window_id, point_count, first_us, last_us, is_full AS is_full_window FROM win"))
 def stream_windows(spark, sf):
-    return finish(jobs.window_stream(live(spark, sf))).select("window_id", "point_count", "first_us", "last_us", "is_full_window")
+    return finish(jobs.window_stream(staged(spark, sf))).select("window_id", "point_count", "first_us", "last_us", "is_full_window")
 
 
-@query("stm4_lag_window_guard", q(CLOSED, """SELECT window_id, coalesce(before = window_index-1, false) AS follows_previous FROM cl WHERE NOT tailing OR timed_out"""))
+@query("stm4_lag_window_guard", q(STREAM_WIN, """SELECT window_id, coalesce(lag(window_index) OVER (PARTITION BY trajectory_id, segment_index ORDER BY window_index) = window_index-1, false) AS follows_previous FROM win"""))
 def lag_guard(spark, sf):
-    return finish(jobs.window_stream(live(spark, sf))).select("window_id", "follows_previous")
+    return finish(jobs.window_stream(staged(spark, sf))).select("window_id", "follows_previous")
 
 
 @query("stm2_trailing_history", q(READINGS, """SELECT event_id, least(count(*) OVER w, 500) AS history_points, round((t_us - min(t_us) OVER w)/1e6, 6) AS history_s FROM readings
   WINDOW w AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN 1200000000 PRECEDING AND CURRENT ROW)"""))
 def trailing_history(spark, sf):
-    h = finish(jobs.history_stream(live(spark, sf)))
+    h = finish(jobs.history_stream(staged(spark, sf)))
     return rounded(h.select("event_id", F.col("history_points").cast("bigint").alias("history_points"), "history_s"), 6, ["history_s"])
 
 
@@ -84,12 +86,10 @@ def stream_score_freeze(spark, sf):
     return monitored(spark, sf).select("event_id", F.col("frozen_score").alias("risk_score")).distinct()
 
 
-@query("stm6_evidence_status", q(CLOSED, """SELECT p.event_id, arg_max(c.window_id, c.last_us) AS window_id, CASE WHEN max(c.last_us) IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'WINDOW_EVALUATED' END AS evidence_status
-  FROM pts p LEFT JOIN (SELECT * FROM cl WHERE NOT tailing OR timed_out) c ON c.user_id = p.user_id AND c.last_us < p.t_us GROUP BY 1"""))
+@query("stm6_evidence_status", q(STREAM_WIN, """SELECT p.event_id, arg_max(c.window_id, c.last_us) AS window_id, CASE WHEN max(c.last_us) IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'WINDOW_EVALUATED' END AS evidence_status
+  FROM pts p LEFT JOIN win c ON c.user_id = p.user_id AND c.last_us < p.t_us GROUP BY 1"""))
 def evidence_status(spark, sf):
-    windows = finish(jobs.window_stream(live(spark, sf))).withColumn("last_us", F.col("last_us") + 1)
-    r = adapter.readings(spark, sf).select("user_id", "event_id", "t_us")
-    return jobs.evidence_status(windows, r).select("event_id", "window_id", "evidence_status")
+    return finish(jobs.evidence_stream(staged(spark, sf))).select("event_id", "window_id", "evidence_status")
 
 
 @query("stm7_consented_stream", q(READINGS, """SELECT event_id FROM readings WHERE user_id IN (SELECT user_id FROM consent
@@ -101,9 +101,10 @@ def consented_stream(spark, sf):
 @query("stm8_stream_latest_fix", q(READINGS, """SELECT l.event_id, arg_max(r.event_id, (r.t_us, r.event_id)) AS fix_event FROM readings l JOIN readings r ON r.user_id = l.user_id
   AND r.event_type = 'view' AND l.event_type = 'click' AND r.t_us <= l.t_us AND r.t_us >= l.t_us - 60000000 GROUP BY 1"""))
 def stream_latest_fix(spark, sf):
-    r = live(spark, sf).select("user_id", "event_id", "event_time", "t_us", "latitude", "longitude", "event_type")
-    pairs = jobs.latest_fix_stream(r.where("event_type = 'click'"), r.where("event_type = 'view'"))
-    return jobs.newest_fix(finish(pairs)).select("event_id", F.col("fix.event_id").alias("fix_event"))
+    r = staged(spark, sf, "event_type")
+    patients = r.where("event_type = 'click' OR event_type IS NULL")
+    out = finish(jobs.latest_fix_stream(patients, r.where("event_type = 'view'")))
+    return out.where("fix_event IS NOT NULL").select("event_id", "fix_event")
 
 
 def monitored(spark, sf) -> DataFrame:
@@ -122,14 +123,6 @@ def stream_displacement(spark, sf):
     return monitored(spark, sf).where("pdr_tier IS NOT NULL").select("event_id", "pdr_tier").distinct()
 
 
-@query("stm9_ingest_history")
-def ingest_history(spark, sf):
-    out = scratch_dir(spark)
-    stream = live(spark, sf).withColumn("score", F.expr("(v % 97)/1.0D"))
-    jobs.ingest(stream, adapter.zones(spark, sf), adapter.consent(spark, sf), out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/history").select("user_id", "event_id", "t_us", "risk_score", "risk_tier", "polling_tier")
-
-
 # --- events as documents and keyed sinks ----------------------------------------------------
 
 BAD = """CASE WHEN k = 3 THEN 'location' WHEN k = 4 THEN 'speed' WHEN k = 5 THEN 'battery' WHEN k = 6 THEN 'signal_state'
@@ -182,15 +175,9 @@ def risk_history_sink(spark, sf):
 @query("snk3_latest_wins_merge", q(READINGS, "SELECT user_id, max(t_us) AS t_us, arg_max(event_id, (t_us, event_id)) AS event_id, arg_max(battery_pct, (t_us, event_id)) AS battery_pct FROM readings GROUP BY 1"))
 def latest_wins(spark, sf):
     out = scratch_dir(spark)
-    rows = live(spark, sf).select("user_id", "t_us", "event_id", F.col("battery_pct").cast("bigint").alias("battery_pct"))
-    seen = []
-
-    def write(batch, i):
-        seen.append(i)
-        sinks.merge_batch(batch, i, out, ["user_id"], ["t_us", "event_id"])
-
-    _by_batch(rows, write)
-    return sinks.read_merged(spark, out, seen[-1])
+    rows = staged(spark, sf, "battery_pct").where(F.col("user_id") != jobs.CLOSING_USER).select("user_id", "t_us", "event_id", F.col("battery_pct").cast("bigint").alias("battery_pct"))
+    _by_batch(rows, lambda b, i: sinks.merge_batch(b, i, out, ["user_id"], ["t_us", "event_id"]))
+    return sinks.read_merged(spark, out)
 
 
 @query("snk4_wearable_readings", q(READINGS, "SELECT event_id, user_id, t_us, heart_rate_bpm, wear_state FROM wearables"))

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell import schemas
-from tracewell.operators import cleaning, decision, states
+from tracewell.operators import cleaning, states
 from tracewell.operators.zones import with_zone_distances
 from tracewell.session import ROCKSDB_PROVIDER
-from tracewell.sources import sinks
 from tracewell.streaming.processors import EvidenceMonitor, LatestFix, TrailingHistory, UserMonitor, WindowBuilder
 
 LATE = "300 seconds"
@@ -90,44 +89,6 @@ def latest_fix_stream(patients: DataFrame, fixes: DataFrame, max_age_s: int = 60
     return _timed(both, LatestFix(max_age_s), schema, late, "is_reading")
 
 
-def ingest(stream: DataFrame, zones: DataFrame, consent: DataFrame, path: str, checkpoint: str):
-    """Part of the ingest: consent, displacement tier, geofence, held score, history and alerts.
-
-    Returns the started query.  ``path`` receives ``events`` and ``history`` (append) and ``alerts``
-    (one per user, whatever the cell; latest wins).  Not done: wearables, the cell multiplier and the
-    operational score (``risk_score`` is the held score), escalation, loop and group steps.
-    """
-    monitored = monitor_stream(consented_stream(stream, consent), zones)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            sinks.append_batch(batch, batch_id, f"{path}/events")
-            once = batch.groupBy("user_id", "event_id", "t_us").agg(
-                F.max("pdr_tier").alias("pdr_tier"), F.max("frozen_score").alias("risk_score"),
-                F.max(F.col("status") == "BREACH_ACTIVE").alias("breach"),
-            )
-            tier = decision.operational_tier(F.col("risk_score"))
-            lifted = F.when(F.col("breach"), "CRITICAL").otherwise(tier)
-            history = once.withColumn("risk_tier", lifted).withColumn(
-                "polling_tier", decision.polling_tier(F.col("risk_tier"))
-            )
-            sinks.append_batch(history, batch_id, f"{path}/history")
-            alerts = history.where("risk_tier IN ('SUSPICIOUS', 'CRITICAL')").select(
-                "user_id", "t_us", "event_id", "risk_tier", F.lit("PENDING").alias("status")
-            )
-            sinks.merge_batch(alerts, batch_id, f"{path}/alerts", ["user_id"], ["t_us", "event_id"])
-        finally:
-            batch.unpersist()
-
-    return (
-        monitored.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def frozen_scores(readings: DataFrame) -> DataFrame:
     """Batch form of the freeze: the last valid score is held while the signal is degraded, and
     raised by a long displacement.  Needs ``score, is_degraded, net_displacement_m``."""

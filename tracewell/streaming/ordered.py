@@ -33,7 +33,8 @@ class OrderedProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.ROW)
         self.kept = handle.getValueState("memory", self.MEMORY)
         self.timers = handle.getValueState("timers", "wake_ms bigint, last_us bigint")
-        self.row_names = [f.split()[0] for f in self.ROW.split(", ")]
+        self.row_names, self.row_types = zip(*(f.split() for f in self.ROW.split(", ")))
+        self.row_names = list(self.row_names)
         self.names = [f.split()[0] for f in self.MEMORY.split(", ")]
         self.prepare()
 
@@ -60,7 +61,7 @@ class OrderedProcessor(StatefulProcessor):
         first = None
         for part in rows:  # part by part: a user's whole batch is never one frame
             taken = part[self.row_names]
-            self.waiting.appendList([tuple(_plain(v) for v in r) for r in taken.itertuples(index=False)])
+            self.waiting.appendList([tuple(_plain(v, t) for v, t in zip(r, self.row_types)) for r in taken.itertuples(index=False)])
             least = int(part["t_us"].min())
             first = least if first is None else min(first, least)
         if first is not None:
@@ -98,12 +99,12 @@ class OrderedProcessor(StatefulProcessor):
         elif memory is not None:
             self.kept.update(tuple(memory[n] for n in self.names))
             self.timers.update((None, last))
-        wake = [r["t_us"] // 1000 + 1 for r in later[:1] + sorted(later, key=lambda r: r["t_us"])[:1]]
+        wake = [min(r["t_us"] for r in later) // 1000 + 1] if later else []
         if not gone and memory is not None:
             at = self.wanted(memory)
             wake += [(last + self.lifetime_us) // 1000 + 1] + ([at // 1000 + 1] if at is not None else [])
-        if wake:
-            self._wake(min(wake))
+        if wake:  # a timer in the past would never be found
+            self._wake(max(min(wake), passed // 1000 + 1))
         if out:
             yield pd.DataFrame(out, columns=list(self.COLUMNS))
 
@@ -126,12 +127,10 @@ class OrderedProcessor(StatefulProcessor):
         self.timers.update((at_ms, held[1]))
 
 
-def _plain(v):
-    """A value that state can hold: numpy numbers as Python ones, missing ones as None, arrays of structs as lists."""
-    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
-        return None
+def _plain(v, kind: str):
+    """A value that state can hold: numpy values as Python ones of the declared type, missing ones as None."""
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if isinstance(v, list):
-        return [tuple(x.values()) if isinstance(x, dict) else tuple(x) if hasattr(x, "_fields") or isinstance(x, tuple) else x for x in v]
-    return v
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+        return None
+    return int(v) if kind in ("int", "bigint") else bool(v) if kind == "boolean" else v
