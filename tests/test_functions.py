@@ -142,3 +142,19 @@ def test_polygon(spark):
                     geo.polygon_edge_distance(ring, F.col("lat"), F.col("lon")).alias("d")).collect()
     assert all(r["g"] == r["inside"] for r in got)
     assert got[2]["d"] == pytest.approx(0.1 * 111412.84 * math.cos(math.radians(0.5)), rel=1e-6)
+
+
+def test_percentiles_of_times_and_longitudes(spark):
+    """Values of one size: all in one bucket, told apart by their place in it."""
+    rng = np.random.default_rng(12)
+    times = 1_700_000_000 + rng.integers(0, 4_000_000, 5000).astype(float)
+    lons = 116.3 + rng.normal(0, 1e-3, 5000)
+    rows = [("t", float(v)) for v in times] + [("l", float(v)) for v in lons] + [("same", 5.0)] * 40
+    probs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["q"] for r in percentiles(df, ["k"], "v", probs).collect()}
+    for k, values in (("t", times), ("l", lons), ("same", np.array([5.0]))):
+        assert np.allclose(got[k], np.percentile(values, [100 * p for p in probs]), rtol=0, atol=1e-6)
+    s = {r["k"]: r for r in spread(df, ["k"], "v").collect()}
+    assert s["t"]["mad"] == pytest.approx(np.median(np.abs(times - np.median(times))), abs=1e-6)
+    assert s["l"]["variance"] == pytest.approx(lons.var(ddof=1), rel=1e-6)

@@ -1,9 +1,11 @@
 """Exact percentiles (linear interpolation) that survive a group holding most of the rows.
 
-One lazy path for groups of every size.  Equal values of a group are counted first, so copies collapse before any shuffle.  The
-counted values fall into buckets by a fixed, order-preserving rule; a group's buckets (a few hundred in practice) are summed from
-small to large, which tells the bucket and the place in it of every wanted rank, and only those buckets are put in order.  No
-value of a group is ever gathered, and nothing runs while the plan is being built.
+One path for groups of every size.  Equal values of a group are counted first, so copies collapse before any shuffle.  The counted
+values fall into buckets by a fixed, order-preserving rule; a group's buckets (a few hundred in practice) are summed from small to
+large, which tells the bucket of every wanted rank.  Such a bucket is divided once more, evenly between its least and its greatest
+value, so that values of one size (times, longitudes) part too; only the places that hold a wanted rank are put in order.  No value
+of a group is ever gathered.  Spread and distribution use the counts and the percentiles several times, so they store
+both.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import MAD_TO_SIGMA
+from tracewell.session import store
 
 #: Buckets per doubling of a value.
 STEPS = 64
+#: Equal places that a bucket is divided into, from its least to its greatest value.
+PLACES = 256
 #: Above the bucket number of the smallest positive double.
 SHIFT = 1100 * STEPS
 
@@ -46,30 +51,40 @@ def _counted(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFra
 def _at_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per key with ``n`` and the percentile array ``q``."""
     keys = list(keys)
-    group = keys or [F.lit(0)]
-    rows = counted.withColumn("_b", _bucket(F.col("_v")))
-    order = Window.partitionBy(*group).orderBy("_b")
-    sizes = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
-    sizes = sizes.withColumns({
-        "_below": F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_n": F.sum("_size").over(Window.partitionBy(*group)),
-    })
+    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranks = F.array(*[
         F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight"))
         for i, p in enumerate(probs)
         for rank, weight in _neighbours(p)
     ])
-    held = F.filter(ranks, lambda w: (w["rank"] >= F.col("_below")) & (w["rank"] < F.col("_below") + F.col("_size")))
-    wanted = sizes.select(*keys, "_b", "_below", "_n", held.alias("_w")).where(F.size("_w") > 0)
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    near = _join(rows, wanted, [*keys, "_b"]).withColumn("_end", F.col("_below") + F.sum("_c").over(inside))
+    whole = sizes.select(*keys, F.lit(0).cast("bigint").alias("_start"), ranks.alias("_w"))
+    coarse, found = _narrowed(counted.withColumn("_b", _bucket(F.col("_v"))), keys, "_b", whole)
+    place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PLACES), F.lit(PLACES - 1))
+    inner = coarse.withColumn("_p", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0).cast("bigint")).drop("_lo", "_hi")
+    fine, found = _narrowed(inner, [*keys, "_b"], "_p", found)
+    inside = Window.partitionBy(*keys, "_b", "_p").orderBy("_v")
+    near = _join(fine.drop("_lo", "_hi"), found, [*keys, "_b", "_p"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
     hit = F.filter("_w", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_c")))
-    each = near.select(*keys, "_n", "_v", F.explode(hit).alias("_w"))
+    each = near.select(*keys, "_v", F.explode(hit).alias("_w"))
     parts = [
         F.sum(F.when(F.col("_w.i") == i, F.col("_v") * F.col("_w.weight"))).alias(f"_q{i}") for i in range(len(probs))
     ]
-    picked = each.groupBy(*keys).agg(F.max("_n").alias("n"), *parts)
-    return picked.select(*keys, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("q")).where("n > 0")
+    picked = _join(each.groupBy(*keys).agg(*parts), sizes, keys)
+    return picked.select(*keys, F.col("_n").alias("n"), F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("q")).where("n > 0")
+
+
+def _narrowed(rows: DataFrame, keys: list[str], part: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the parts that hold a wanted rank, with the part's least and greatest value, and those parts with what they hold.
+
+    ``wanted`` has, per key, the number of values below the key (``_start``) and the ranks asked of it (``_w``).
+    """
+    sizes = rows.groupBy(*keys, part).agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = _join(sizes.withColumn("_below", F.coalesce(F.sum("_size").over(order), F.lit(0))), wanted, keys)
+    sizes = sizes.withColumn("_start", F.col("_start") + F.col("_below"))
+    held = F.filter("_w", lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_start") + F.col("_size")))
+    found = sizes.select(*keys, part, "_start", held.alias("_w"), "_lo", "_hi").where(F.size("_w") > 0)
+    return _join(rows, found.select(*keys, part, "_lo", "_hi"), [*keys, part]), found.drop("_lo", "_hi")
 
 
 def _neighbours(p: float) -> list[tuple[Column, Column]]:
@@ -101,10 +116,10 @@ def _about(counted: DataFrame, keys: Sequence[str], base: DataFrame) -> DataFram
 def spread(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
     """Count, median, P95, P99, MAD, robust scale, mean, variance and minimum per key."""
     keys = list(keys)
-    counted = _counted(df, keys, value)
-    base = _at_ranks(counted, keys, [0.5, 0.95, 0.99]).select(
+    counted = store(_counted(df, keys, value))
+    base = store(_at_ranks(counted, keys, [0.5, 0.95, 0.99]).select(
         *keys, F.col("n").alias("sample_size"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")
-    )
+    ))
     centre = base.select(*keys, F.col("median").alias("_med"))
     away = _join(counted, centre, keys).groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
     mad = _at_ranks(away, keys, [0.5]).select(*keys, F.col("q")[0].alias("mad"))
@@ -122,8 +137,8 @@ STATS = ("count", "min", "max", "mean", "std", "p25", "p50", "p75", "p95", "p99"
 def distribution(df: DataFrame, keys: Sequence[str], value: str, sample_std: bool = False) -> DataFrame:
     """Count, range, mean, deviation and five percentiles per key."""
     keys = list(keys)
-    counted = _counted(df, keys, value)
-    ranked = _at_ranks(counted, keys, [0.25, 0.5, 0.75, 0.95, 0.99])
+    counted = store(_counted(df, keys, value))
+    ranked = store(_at_ranks(counted, keys, [0.25, 0.5, 0.75, 0.95, 0.99]))
     about = _about(counted, keys, ranked.select(*keys, F.col("q")[1].alias("_med")))
     least = 1 if sample_std else 0
     std = F.when(F.col("_m") > least, F.sqrt(F.col("_ss") / (F.col("_m") - least)))
