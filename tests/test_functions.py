@@ -158,3 +158,10 @@ def test_percentiles_of_times_and_longitudes(spark):
     s = {r["k"]: r for r in spread(df, ["k"], "v").collect()}
     assert s["t"]["mad"] == pytest.approx(np.median(np.abs(times - np.median(times))), abs=1e-6)
     assert s["l"]["variance"] == pytest.approx(lons.var(ddof=1), rel=1e-6)
+
+
+def test_percentile_between_equal_values_is_that_value(spark):
+    """No value may exceed a percentile that lies between two copies of it."""
+    v = 0.7739760316291208
+    df = spark.createDataFrame([(n, x) for n in (20, 33, 43) for x in [0.1] * (n - 12) + [v] * 12], "n int, v double")
+    assert all(r["q"] == [v, v] for r in percentiles(df, ["n"], "v", [0.95, 0.9]).collect())

@@ -53,9 +53,9 @@ def _at_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[float]) -
     keys = list(keys)
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight"))
+        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.alias("rank"), weight.alias("weight"))
         for i, p in enumerate(probs)
-        for rank, weight in _neighbours(p)
+        for side, (rank, weight) in enumerate(_neighbours(p))
     ])
     whole = sizes.select(*keys, F.lit(0).cast("bigint").alias("_start"), ranks.alias("_w"))
     coarse, found = _narrowed(counted.withColumn("_b", _bucket(F.col("_v"))), keys, "_b", whole)
@@ -66,9 +66,10 @@ def _at_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[float]) -
     near = _join(fine.drop("_lo", "_hi"), found, [*keys, "_b", "_p"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
     hit = F.filter("_w", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_c")))
     each = near.select(*keys, "_v", F.explode(hit).alias("_w"))
-    parts = [
-        F.sum(F.when(F.col("_w.i") == i, F.col("_v") * F.col("_w.weight"))).alias(f"_q{i}") for i in range(len(probs))
-    ]
+    at = lambda i, side, c: F.max(F.when((F.col("_w.i") == i) & (F.col("_w.side") == side), F.col(c)))
+    # Between two equal values this is exactly that value, in whatever order rows come.
+    between = lambda low, high, w: F.when(low == high, low).otherwise(low + (high - low) * w)
+    parts = [between(at(i, 0, "_v"), at(i, 1, "_v"), at(i, 1, "_w.weight")).alias(f"_q{i}") for i in range(len(probs))]
     picked = _join(each.groupBy(*keys).agg(*parts), sizes, keys)
     return picked.select(*keys, F.col("_n").alias("n"), F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias("q")).where("n > 0")
 
