@@ -163,5 +163,5 @@ def test_percentiles_of_times_and_longitudes(spark):
 def test_percentile_between_equal_values_is_that_value(spark):
     """No value may exceed a percentile that lies between two copies of it."""
     v = 0.7739760316291208
-    df = spark.createDataFrame([(n, x) for n in (20, 33, 43) for x in [0.1] * (n - 12) + [v] * 12], "n int, v double")
-    assert all(r["q"] == [v, v] for r in percentiles(df, ["n"], "v", [0.95, 0.9]).collect())
+    df = spark.createDataFrame([(n, x) for n in (20, 33, 43) for x in [0.1] * (n - 12) + [v] * 12], "k int, v double")
+    assert all(r["q"] == [v, v] for r in percentiles(df, ["k"], "v", [0.95, 0.9]).collect())
