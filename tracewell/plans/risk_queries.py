@@ -492,12 +492,12 @@ _ranking("met4_brier", "brier_score", "SELECT model, horizon_s, round(avg(pow(p-
 
 @query(
     "met6_curve_points",
-    q(CURVE, """SELECT model, horizon_s, round(p, 9) AS threshold, round(tp/(tp+fp)::DOUBLE, 6) AS precision,
-      round(tp/np::DOUBLE, 6) AS recall, round(fp/nn::DOUBLE, 6) AS fpr FROM cv WHERE horizon_s = 120"""),
+    q(CURVE, """SELECT model, horizon_s, round(p, 9) AS threshold, tp/(tp+fp)::DOUBLE AS precision,
+      tp/np::DOUBLE AS recall, fp/nn::DOUBLE AS fpr FROM cv"""),
 )
 def curve_points(spark, sf):
-    c = metrics.curve_points(scored(spark, sf).where("horizon_s = 120"), MODEL_KEYS)
-    return rounded(rounded(c, 6, ["precision", "recall", "fpr"]), 9, ["threshold"])
+    c = metrics.curve_points(scored(spark, sf), MODEL_KEYS)
+    return rounded(c, 9, ["threshold"])
 
 
 FLOORS = {120: 0.75, 360: 0.85, 600: 0.88, 840: 0.88}
