@@ -84,6 +84,14 @@ def test_stability_is_past_only_and_resets(spark):
         prev = cv if cv is not None else prev
 
 
+def test_stability_of_long_distances_does_not_cancel(spark):
+    d = [1e9 + x for x in (0.0, 3.0, 1.0, 7.0, 2.0, 5.0)]
+    rows = [("u", f"t{i}", T0 + dt.timedelta(days=i), x) for i, x in enumerate(d)]
+    schema = "user_id string, trajectory_id string, start_time timestamp_ntz, path_distance_m double"
+    got = profiles.stability_history(spark.createDataFrame(rows, schema)).orderBy("trip_index").collect()
+    assert [r["cv"] for r in got][1:] == [pytest.approx(np.std(d[:i], ddof=1) / np.mean(d[:i]), rel=1e-6) for i in range(2, 7)]
+
+
 def test_fourth_dismissal_is_refused(spark):
     hour, day = 3_600_000_000, 86_400_000_000
     t = [0, hour, 2 * hour, 3 * hour, 30 * day, 30 * day + 1, 31 * day, 75 * day]

@@ -114,24 +114,27 @@ def stability_history(trips: DataFrame, rules: ProfileRules = ProfileRules()) ->
         )
     )
     order, chunk = ["start_us", "trajectory_id"], time_chunk("start_us", MONTH_S)
+    # Squares are summed about the first trip, which is as past as can be and near the others, so that they do not cancel.
+    first = rows.groupBy("user_id").agg(F.min_by("path_distance_m", F.struct(*order)).alias("_first"))
+    off = d - F.col("_first")
     sums = ordered_scan(
-        rows,
+        rows.join(first, "user_id"),
         ["user_id"],
         order,
         chunk,
         {
             "trip_index": running_sum(F.lit(1)),
-            "_s1": running_sum(d),
-            "_s2": running_sum(d * d),
+            "_s1": running_sum(off),
+            "_s2": running_sum(off * off),
         },
     )
 
     def cv(n: Column, s1: Column, s2: Column) -> Column:
         spread2 = F.greatest((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
-        return variation(n, s1 / n, F.sqrt(spread2))
+        return variation(n, F.col("_first") + s1 / n, F.sqrt(spread2))
 
     n, s1, s2 = F.col("trip_index"), F.col("_s1"), F.col("_s2")
-    before = F.when(n > 1, cv(n - 1, s1 - d, s2 - d * d))
+    before = F.when(n > 1, cv(n - 1, s1 - off, s2 - off * off))
     steps = sums.withColumns({"cv": cv(n, s1, s2), "_before": before}).withColumn(
         "delta_cv", delta_variation(F.col("cv"), F.col("_before"))
     )
