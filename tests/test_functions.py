@@ -102,6 +102,23 @@ def test_machine_replay_equals_a_loop(spark, machine):
         assert {r["t"]: (r["state_before"], r["state_after"]) for r in got.collect()} == want
 
 
+def test_replay_cuts_a_hot_key_and_counts_rows_without_one(spark):
+    """One key in one chunk meets several partitions; rows without key, time or symbol stay, with null states."""
+    machine, rng = m.geofence_machine(), random.Random(5)
+    rows = [("hot", i, rng.randrange(16)) for i in range(400)] + [("cold", 3, 1)]
+    lost = [(None, 7, 1), ("hot", None, 1), ("hot", 9, None), (None, None, None)]
+    df = spark.createDataFrame(rows + lost, "k string, t bigint, x int")
+    got = run_machine(df, ["k"], ["t"], F.when(F.col("t").isNotNull(), 0), F.col("x"), machine).collect()
+    assert len(got) == len(rows) + len(lost)
+    assert sorted(map(str, (tuple(r)[:3] for r in got if r["state_after"] is None))) == sorted(map(str, lost))
+    s, want = machine.start, []
+    for _, t, x in rows[:400]:
+        b, s = s, machine.step(s, x)
+        want.append((t, machine.states[b], machine.states[s]))
+    assert sorted((r["t"], r["state_before"], r["state_after"]) for r in got if r["k"] == "hot" and r["state_after"]) == want
+    assert run_machine(df.limit(0), ["k"], ["t"], F.col("t"), F.col("x"), machine).collect() == []
+
+
 def test_displacement_golden():
     machine, s, tiers = m.pdr_machine(), 0, []
     for d in (10, 30, 25, 60, 49, 40):

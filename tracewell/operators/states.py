@@ -71,11 +71,11 @@ def stateless_pdr(displacement: Column) -> Column:
 
 def zone_readings(readings: DataFrame, zones: DataFrame, rules: GeofenceRules = GeofenceRules()) -> DataFrame:
     """One row per reading and zone of its user with the machine's input."""
-    hourly = readings.withColumn("_chunk", _hourly()).dropna(subset=["user_id", "_chunk"])
-    d = with_zone_distances(hourly, zones, ("user_id", "_chunk")).withColumn(
-        "_any", F.exists("zone_distances", lambda z: z["distance"] <= 0)
-    )
-    rows = d.select("*", F.explode("zone_distances").alias("_z")).drop("zone_distances")
+    hourly = readings.withColumn("_chunk", _hourly())
+    d = with_zone_distances(hourly, zones, ("user_id", "_chunk"))
+    # An inner explode would have its filter pushed below the shuffle, where distances are computed once more.
+    rows = d.select("*", F.explode_outer("zone_distances").alias("_z")).where(F.col("_z").isNotNull())
+    near = F.exists("zone_distances", lambda z: z["distance"] <= 0)
     buffer = F.greatest(
         F.lit(rules.buffer_m), F.least(F.col("accuracy_m"), F.lit(rules.buffer_cap_m))
     )
@@ -84,13 +84,14 @@ def zone_readings(readings: DataFrame, zones: DataFrame, rules: GeofenceRules =
     return rows.withColumns({
         "zone_id": F.col("_z.zone_id"),
         "distance_m": dist,
-        "input": _bits((dist <= 0, m.INSIDE), (dist > buffer, m.PAST_BUFFER), (F.col("_any"), m.ANY_INSIDE), (hold, m.HOLD)),
-    }).drop("_z", "_any")
+        "input": _bits((dist <= 0, m.INSIDE), (dist > buffer, m.PAST_BUFFER), (near, m.ANY_INSIDE), (hold, m.HOLD)),
+    }).drop("_z", "zone_distances")
 
 
 def geofence_states(readings: DataFrame, zones: DataFrame, rules: GeofenceRules = GeofenceRules()) -> DataFrame:
     """Boundary state, alert action and evaluation status per reading and zone."""
-    rows = zone_readings(readings, zones, rules)
+    # The replay looks at its input twice, to lay it out and to walk it; distances are found once.
+    rows = store(zone_readings(readings, zones, rules))
     ran = run_machine(
         rows, ["user_id", "zone_id"], ORDER, F.col("_chunk"), F.col("input"), m.geofence_machine(rules)
     )
@@ -297,7 +298,7 @@ def escalation(readings: DataFrame, rules: EscalationRules = EscalationRules())
         kept = ~F.col("_gap")
         stale = kept & (before[0] != "NONE") & F.col("_expired")
         repeat = kept & F.col("_same") & (before[3] == "1")
-        ran = store(ran.withColumn("_now", F.col("_strange") & ~stale & ~repeat))
+        ran = ran.withColumn("_now", F.col("_strange") & ~stale & ~repeat)
         if ran.where(F.col("_now") != F.col("_hit")).isEmpty():
             break
         ready = ran.withColumn("_hit", F.col("_now")).drop("_now", "_expired", "state_before", "state_after")
