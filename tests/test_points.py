@@ -40,6 +40,22 @@ def test_trace_files(spark, tmp_path):
     assert {r["a"] for r in metres} == {150.0, None}
 
 
+def test_line_numbers_of_a_file_read_in_blocks(spark, tmp_path):
+    """Files cut into many blocks give the line numbers of the whole file; written traces come back as they were."""
+    rows = [("a", f"a_t{i % 2}", i, at(i), 39.9 + i * 1e-4, 116.3, float(i)) for i in range(400)] + [("b", "b_x", 0, None, 1.5, 2.5, None)]
+    schema = "user_id string, trajectory_id string, pos bigint, timestamp timestamp_ntz, latitude double, longitude double, altitude double"
+    written = plt.write_traces(spark.createDataFrame(rows, schema), str(tmp_path / "w")).collect()
+    assert sorted(map(tuple, written)) == [("a/Trajectory/t0.plt", 200), ("a/Trajectory/t1.plt", 200), ("b/Trajectory/x.plt", 1)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = plt.read_traces(spark, str(tmp_path / "w"))
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+        back = sorted((r["trajectory_id"], r["pos"], r["timestamp"], r["latitude"], r["altitude"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert back == sorted((r[1], 6 + r[2] // 2, r[3], r[4], r[6]) for r in rows[:400])
+
+
 def test_cleaning_golden(spark):
     schema = "user_id string, trajectory_id string, timestamp timestamp_ntz, latitude double, longitude double, altitude double, pos bigint"
     rows = [

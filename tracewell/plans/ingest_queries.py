@@ -17,6 +17,25 @@ def clock():
     return geo.micros("timestamp").alias("t_us")
 
 
+def _traces(spark, sf):
+    root = scratch_dir(spark)
+    plt.write_traces(adapter.raw_points(spark, sf), root)
+    return root
+
+
+@query("src1_discovered_traces", q(RAW, "SELECT DISTINCT user_id, trajectory_id FROM raw"))
+def discovered(spark, sf):
+    return plt.discover(spark, _traces(spark, sf)).select("user_id", "trajectory_id")
+
+
+@query("src2_traces_read_back", q(RAW, """SELECT user_id, trajectory_id, pos, t_us, latitude, longitude, altitude FROM (
+  SELECT *  REPLACE (5 + row_number() OVER (PARTITION BY trajectory_id ORDER BY pos) AS pos) FROM raw)
+WHERE latitude IS NOT NULL"""))
+def read_back(spark, sf):
+    raw = plt.read_traces(spark, _traces(spark, sf))
+    return raw.select("user_id", "trajectory_id", "pos", clock(), "latitude", "longitude", "altitude")
+
+
 @query(
     "src3_altitude_metres",
     q(RAW, "SELECT pos, CASE WHEN altitude <> -777 THEN round(altitude*0.3048, 1) END AS altitude_m FROM raw"),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import CleaningRules
+from tracewell.session import store
 
 # Fixed patterns: <user>/Trajectory/<trip>.plt or <user>/<trip>.plt
 USER_PATTERN = r"([^/]+)/(?:[Tt]rajectory/)?[^/]+\.plt$"
@@ -35,19 +41,26 @@ def _named(df: DataFrame, path: Column) -> DataFrame:
 def read_traces(
     spark: SparkSession, root: str, rules: CleaningRules = CleaningRules()
 ) -> DataFrame:
-    """Raw fixes with their position in the file; rows without seven typed fields are dropped.
+    """Raw fixes with their line number in the file; rows without seven typed fields are dropped.
 
-    A trip is one small file, so a file is one record and line numbers are exact.
+    A large file is read in blocks by several tasks.  A line's number is its place in the block plus the lines of the blocks before
+    it; both follow from one row per block, so no file is gathered and no line is sorted.
     """
-    files = (
+    scanned = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.plt")
-        .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    lines = _named(files, F.col("path")).select(
-        "user_id", "trajectory_id", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")
+        .text(root)
+        .select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"),
+        )
     )
+    # Rows of a block are numbered one after the other within their task.
+    blocks = scanned.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_lines"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_shift", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).drop("_first", "_lines")
+    placed = scanned.join(offsets, ["path", "_block"]).withColumn("pos", F.col("_row") + F.col("_shift"))
+    lines = _named(placed, F.col("path")).select("user_id", "trajectory_id", "pos", "line")
     f = F.split("line", ",")
     stamp = F.concat_ws(" ", F.trim(f[5]), F.trim(f[6]))
     fields = (
@@ -71,6 +84,57 @@ def read_traces(
     return fields.dropna(subset=numeric).drop("_reserved")
 
 
+def write_traces(points: DataFrame, root: str, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Write one trace file per trip below ``root`` and return ``path, fixes`` of each.
+
+    Needs ``user_id, trajectory_id, pos, timestamp, latitude, longitude, altitude`` (feet); lines go by ``pos``, nulls are empty fields.
+    A task has one file open at a time, whatever its length; a file appears under its name only when it is complete, so a repeated
+    task replaces it with the same lines.
+    """
+    trip = F.substr(F.col("trajectory_id"), F.length("user_id") + 2)
+    days = F.unix_micros(F.col("timestamp").cast("timestamp")) / 86_400e6 + 25_569
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    fields = [
+        text(F.col("latitude")), text(F.col("longitude")), F.lit("0"), text(F.col("altitude")), text(F.coalesce(days, F.lit(0.0))),
+        text(F.date_format("timestamp", "yyyy-MM-dd")), text(F.date_format("timestamp", "HH:mm:ss")),
+    ]
+    lines = points.select(
+        F.concat_ws("/", "user_id", F.lit("Trajectory"), F.concat(trip, F.lit(".plt"))).alias("path"), "pos",
+        F.concat_ws(",", *fields).alias("line"),
+    )
+    laid = lines.repartition("path").sortWithinPartitions("path", "pos")
+    return store(laid.mapInArrow(_writer(root, rules.header_lines), "path string, fixes bigint"))
+
+
+def _writer(root: str, header_lines: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        attempt = TaskContext.get().taskAttemptId()
+        path = out = None
+        fixes = 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            files.move(f"{base}/{path}.{attempt}", f"{base}/{path}")
+            return pa.RecordBatch.from_pydict({"path": [path], "fixes": pa.array([fixes], pa.int64())})
+
+        for batch in batches:
+            for here, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
+                if here != path:
+                    if out is not None:
+                        yield close()
+                    path, fixes = here, 0
+                    files.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                    out = files.open_output_stream(f"{base}/{path}.{attempt}")
+                    out.write(b"header\r\n" * header_lines)
+                out.write(f"{line}\r\n".encode())
+                fixes += 1
+        if out is not None:
+            yield close()
+
+    return write
+
+
 def altitude_metres(feet, rules: CleaningRules = CleaningRules()) -> Column:
     """Feet to metres with one decimal; the missing marker becomes null."""
     feet = F.col(feet) if isinstance(feet, str) else feet
