@@ -12,7 +12,7 @@ from tracewell.operators import machines as m
 from tracewell.operators.zones import with_zone_distances
 from tracewell.sources import sinks
 from tracewell.streaming.jobs import CLOSING_USER, LATE, prepare
-from tracewell.streaming.ordered import OrderedProcessor
+from tracewell.streaming.ordered import ByRows, OrderedProcessor
 from tracewell.streaming.processors import metres
 
 #: What the chain reads of a reading; a column that a stream lacks is null.
@@ -44,7 +44,7 @@ class OnlineChain(OrderedProcessor):
     ORDER = ("kind", "event_id")
     MEMORY = (
         "tier int, level int, live_us bigint, before_us bigint, window_id string, sure_us bigint, loop int, party int, "
-        "fix_us bigint, fix_lat double, fix_lon double, fix_accuracy double, told boolean"
+        "fix_us bigint, fix_lat double, fix_lon double, fix_accuracy double, told boolean, fence_ids array<string>, fence_now array<int>"
     )
     COLUMNS = tuple(f.split()[0] for f in CHAIN_OUT.split(", "))
 
@@ -59,14 +59,16 @@ class OnlineChain(OrderedProcessor):
         self.pdr, self.fence = m.pdr_machine(), m.geofence_machine(self.fence_rules)
         self.loop, self.party = m.loop_machine(), m.group_machine(self.group_rules)
         self.escalation = m.escalation_machine(self.rules)
-        self.zones = self.handle.getMapState("zones", "zone_id string", "state int")
         self.scores = {"S_PATTERN": self.rules.score_pattern, "S_HEART": self.rules.score_heart, "C_HEART": self.rules.score_heart_sustained}
 
     def start(self) -> dict:
         return super().start() | {"tier": self.pdr.start, "level": self.escalation.start, "loop": self.loop.start, "party": self.party.start}
 
-    def forget(self) -> None:
-        self.zones.clear()
+    def load(self, memory: dict) -> None:
+        memory["fence"] = dict(zip(memory["fence_ids"] or [], memory["fence_now"] or []))
+
+    def save(self, memory: dict) -> None:
+        memory.update(fence_ids=list(memory["fence"]), fence_now=list(memory["fence"].values()))
 
     def step(self, key, s: dict, row: dict) -> list[tuple]:
         if row["kind"] == 0:
@@ -77,7 +79,7 @@ class OnlineChain(OrderedProcessor):
             s["tier"] = self.pdr.step(s["tier"], m.pdr_symbol(row["net_displacement_m"] or 0.0, self.pdr_rules))
             pdr_tier = self.pdr.states[s["tier"]]
         level = self._escalate(s, row)
-        fence = self._fence(row)
+        fence = self._fence(s["fence"], row)
         inside = any(state == "INSIDE" for _, state, _, _ in fence)
         loop_action, loop_tier = self._loop(s, row, inside)
         status, action, tier, apart = self._group(s, row)
@@ -127,18 +129,16 @@ class OnlineChain(OrderedProcessor):
         s["level"] = self.escalation.step(s["level"], m.escalation_symbol(kind, not live, gap, expired, same))
         return self.escalation.states[s["level"]].split("|")[0]
 
-    def _fence(self, row: dict) -> list[tuple[str, str, str, str]]:
+    def _fence(self, held: dict, row: dict) -> list[tuple[str, str, str, str]]:
         rules, out = self.fence_rules, []
         ids, far = row["zone_ids"] or [], row["zone_m"] or []
         accuracy = row["accuracy_m"] or 0.0
         poor, within = bool(row["is_degraded"]) or accuracy > rules.max_accuracy_m, any(d <= 0 for d in far)
         buffer = max(rules.buffer_m, min(accuracy, rules.buffer_cap_m))
         for zone, d in zip(ids, far):
-            was = self.zones.getValue((zone,))[0] if self.zones.containsKey((zone,)) else self.fence.start
+            was = held.get(zone, self.fence.start)
             symbol = (m.INSIDE if d <= 0 else 0) | (m.PAST_BUFFER if d > buffer else 0) | (m.ANY_INSIDE if within else 0) | (m.HOLD if poor else 0)
-            now = self.fence.step(was, symbol)
-            if now != was or not self.zones.containsKey((zone,)):
-                self.zones.updateValue((zone,), (now,))
+            now = held[zone] = self.fence.step(was, symbol)
             out.append((zone, self.fence.states[now], *m.fence_report(self.fence.states[was], self.fence.states[now], poor)))
         return out
 
@@ -191,7 +191,7 @@ def chain_stream(readings: DataFrame, zones: DataFrame, companions: DataFrame |
     if companions is not None:
         none = [F.lit(None).cast(t) for t in ("array<string>", "array<double>")]
         both = both.unionByName(companions.select(*timed, F.lit(0).alias("kind"), none[0].alias("zone_ids"), none[1].alias("zone_m"), *_with(companions, INPUT | CARRIED)))
-    return both.withWatermark("event_time", late).groupBy("user_id").transformWithStateInPandas(OnlineChain(), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
+    return both.withWatermark("event_time", late).groupBy("user_id").transformWithState(ByRows(OnlineChain()), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
 
 
 def scored(chain: DataFrame) -> DataFrame:
