@@ -182,3 +182,16 @@ def test_percentile_between_equal_values_is_that_value(spark):
     v = 0.7739760316291208
     df = spark.createDataFrame([(n, x) for n in (20, 33, 43) for x in [0.1] * (n - 12) + [v] * 12], "k int, v double")
     assert all(r["q"] == [v, v] for r in percentiles(df, ["k"], "v", [0.95, 0.9]).collect())
+
+
+def test_entropy_has_no_error_of_divided_logarithms(spark):
+    import math
+
+    from tracewell.operators.features import _entropy_bits
+
+    rows = [(float(o), float(n)) for n in range(1, 40) for o in range(n + 1)]
+    df = spark.createDataFrame(rows, "o double, n double").selectExpr("o / n AS p", "1 - o / n AS q")
+    for r in df.withColumn("bits", _entropy_bits("p", "q")).collect():
+        assert r.bits == sum(-x * math.log2(x) if x > 0 else 0.0 for x in (r.p, r.q))
+    old = df.selectExpr("p", "log2(p) AS l").where("p > 0").collect()
+    assert any(r.l != math.log2(r.p) for r in old)  # what the query used before

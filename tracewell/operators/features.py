@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tracewell.config import FeatureRules, SegmentRules
 from tracewell.functions import geo
@@ -177,6 +179,15 @@ def window_features(
     return _finish(with_window_type(g, segment_rules).where("is_retained"), rules)
 
 
+@F.pandas_udf(DoubleType())
+def _entropy_bits(*shares: pd.Series) -> pd.Series:
+    """Entropy of shares, added in their order, with the C library's log2.
+
+    Spark's ``log2`` divides two logarithms and can be a hair off, so that values that tie with a percentile fall on its other side.
+    """
+    return sum(pd.Series([-p * math.log2(p) if p > 0 else 0.0 for p in s], dtype="float64") for s in shares)
+
+
 def _finish(g: DataFrame, rules: FeatureRules) -> DataFrame:
     n, path = F.col("point_count"), F.col("path_distance_m")
     several = n > 1
@@ -184,8 +195,8 @@ def _finish(g: DataFrame, rules: FeatureRules) -> DataFrame:
     lon_span = F.when(F.size("_lons") > 0, geo.circular_span(F.col("_lons"))).otherwise(
         F.col("_lon1") - F.col("_lon0")
     )
-    share = [F.col(f"_o{i}") / F.col("_bearings") for i in range(rules.octants)]
-    entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in share), F.lit(0.0))
+    share = [F.when(F.col("_bearings") > 0, F.col(f"_o{i}") / F.col("_bearings")) for i in range(rules.octants)]
+    entropy = _entropy_bits(*share)
     g = (
         g.withColumns({
             "temporal_span_sec": span,
