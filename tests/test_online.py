@@ -198,3 +198,15 @@ def test_bucketed_merge(spark, tmp_path):
     for v in (tmp_path / "t" / "pointer").iterdir():
         named |= {(r.version, r.bucket) for r in spark.read.parquet(str(v)).collect()}
     assert left == named
+
+
+def test_state_is_read_and_written_once_for_many_rows():
+    handler, handle = TrailingHistory(), Handle()
+    handler.init(handle)
+    handler.handleInputRows(("u",), iter([pd.DataFrame([fix(t, t) for t in range(700)])]), Clock(0))
+    calls = []
+    for name in ("get", "put"):
+        real = getattr(handler.track, name)
+        setattr(handler.track, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    out = [r for frame in handler.handleExpiredTimer(("u",), Clock(700_000), None) for r in frame["history_points"]]
+    assert out == [min(n, 500) for n in range(1, 701)] and sorted(calls) == ["get", "put"]
