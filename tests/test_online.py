@@ -210,3 +210,41 @@ def test_state_is_read_and_written_once_for_many_rows():
         setattr(handler.track, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
     out = [r for frame in handler.handleExpiredTimer(("u",), Clock(700_000), None) for r in frame["history_points"]]
     assert out == [min(n, 500) for n in range(1, 701)] and sorted(calls) == ["get", "put"]
+
+
+def bucket_run(make, users):
+    """Output per user of a handler under one bucket key, and the number of calls to the state store."""
+    from tracewell.streaming.ordered import ByBuckets
+
+    class Counted(Variable):
+        calls = 0
+
+        def __getattribute__(self, name):
+            if name in ("get", "put", "update", "appendList", "clear"):
+                Counted.calls += 1
+            return super().__getattribute__(name)
+
+    handler, handle, out = ByBuckets(make()), Handle(), {}
+    handle.getValueState = handle.getListState = lambda name, schema: handle.variables.setdefault(name, Counted())
+    handler.init(handle)
+    for mark, times in ((0, (0, 40, 20)), (60, (100, 400, 90)), (400, (1900,)), (10**6, ())):
+        rows = [fix(t, t) | {"user_id": u} for t in times for u in users]
+        if rows:
+            assert not list(handler.handleInputRows((7,), iter([pd.DataFrame(rows)]), Clock(mark * 1000)))
+        if any(t <= mark * 1000 for t in handle.timers):
+            handle.timers = {t for t in handle.timers if t > mark * 1000}
+            for frame in handler.handleExpiredTimer((7,), Clock(mark * 1000), None):
+                for row in frame.itertuples(index=False):
+                    out.setdefault(row[0], []).append(tuple(row)[1:])
+    return out, Counted.calls
+
+
+@pytest.mark.parametrize("make", [EvidenceMonitor, TrailingHistory])
+def test_users_of_a_bucket_share_the_calls_to_state(make):
+    few, calls = bucket_run(make, ["u", "v"])
+    many, more = bucket_run(make, ["u", *(f"w{i}" for i in range(60))])
+    assert more == calls and len(many) == 61
+    alone, _ = play(make(), [(0, [fix(t, t) for t in (0, 40, 20)]), (60, [fix(t, t) for t in (100, 400, 90)]), (400, [fix(1900, 1900)])])
+    cut = [tuple(r.values())[1:] for r in alone]
+    strip = lambda rows: [tuple(str(v).replace("w0_stream", "u_stream") for v in r) for r in rows]
+    assert strip(many["u"]) == strip(few["u"]) == strip(many["w0"]) == strip(cut)

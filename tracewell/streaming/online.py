@@ -12,7 +12,7 @@ from tracewell.operators import machines as m
 from tracewell.operators.zones import with_zone_distances
 from tracewell.sources import sinks
 from tracewell.streaming.jobs import CLOSING_USER, LATE, prepare
-from tracewell.streaming.ordered import ByRows, OrderedProcessor
+from tracewell.streaming.ordered import ByBuckets, OrderedProcessor, bucket
 from tracewell.streaming.processors import metres
 
 #: What the chain reads of a reading; a column that a stream lacks is null.
@@ -62,7 +62,7 @@ class OnlineChain(OrderedProcessor):
         self.scores = {"S_PATTERN": self.rules.score_pattern, "S_HEART": self.rules.score_heart, "C_HEART": self.rules.score_heart_sustained}
 
     def start(self) -> dict:
-        return super().start() | {"tier": self.pdr.start, "level": self.escalation.start, "loop": self.loop.start, "party": self.party.start}
+        return super().start() | {"tier": self.pdr.start, "level": self.escalation.start, "loop": self.loop.start, "party": self.party.start, "fence": {}}
 
     def load(self, memory: dict) -> None:
         memory["fence"] = dict(zip(memory["fence_ids"] or [], memory["fence_now"] or []))
@@ -191,7 +191,7 @@ def chain_stream(readings: DataFrame, zones: DataFrame, companions: DataFrame |
     if companions is not None:
         none = [F.lit(None).cast(t) for t in ("array<string>", "array<double>")]
         both = both.unionByName(companions.select(*timed, F.lit(0).alias("kind"), none[0].alias("zone_ids"), none[1].alias("zone_m"), *_with(companions, INPUT | CARRIED)))
-    return both.withWatermark("event_time", late).groupBy("user_id").transformWithState(ByRows(OnlineChain()), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
+    return both.withWatermark("event_time", late).withColumn("bucket", bucket()).groupBy("bucket").transformWithStateInPandas(ByBuckets(OnlineChain()), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
 
 
 def scored(chain: DataFrame) -> DataFrame:
