@@ -195,3 +195,18 @@ def test_entropy_has_no_error_of_divided_logarithms(spark):
         assert r.bits == sum(-x * math.log2(x) if x > 0 else 0.0 for x in (r.p, r.q))
     old = df.selectExpr("p", "log2(p) AS l").where("p > 0").collect()
     assert any(r.l != math.log2(r.p) for r in old)  # what the query used before
+
+
+def test_small_groups_of_a_spread_take_one_shuffle_and_equal_the_buckets(spark, monkeypatch):
+    from tracewell.functions import quantiles
+
+    rows = [(k, float(v % m)) for k, m, n in (("a", 7, 30), ("b", 50, 9), (None, 3, 5), ("d", 2, 1)) for v in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    gathered = spread(df, ["k"], "v")
+    assert str(gathered._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    near = lambda d: {r["k"]: [None if x is None else round(x, 9) for x in r[1:]] for r in d.collect()}
+    want = near(gathered)
+    for limit in (0, 5):  # all and some groups by buckets
+        monkeypatch.setattr(quantiles, "GATHERED", limit)
+        assert near(spread(df, ["k"], "v")) == want
+    assert want["b"][:5] == [9, 4.0, 7.6, 7.92, 4.0] and want["d"][5] is None and None in want

@@ -1,11 +1,14 @@
 """Exact percentiles (linear interpolation) that survive a group holding most of the rows.
 
-One path for groups of every size.  Equal values of a group are counted first, so copies collapse before any shuffle.  The counted
+The general path takes groups of every size.  Equal values of a group are counted first, so copies collapse before any shuffle.  The counted
 values fall into buckets by a fixed, order-preserving rule; a group's buckets (a few hundred in practice) are summed from small to
 large, which tells the bucket of every wanted rank.  Such a bucket is divided once more, evenly between its least and its greatest
 value, so that values of one size (times, longitudes) part too; only the places that hold a wanted rank are put in order.  No value
 of a group is ever gathered.  Spread and distribution use the counts and the percentiles several times, so they store
 both.
+
+Most groups of a spread are small (the windows of one user), and for them those joins cost far more than the values.  So a spread
+gathers groups of up to ``GATHERED`` values as one sorted array each, in one shuffle; larger groups, if there are any, go by buckets.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from tracewell.session import store
 STEPS = 64
 #: Equal places that a bucket is divided into, from its least to its greatest value.
 PLACES = 256
+#: Values of a group that a spread puts in order as one array.
+GATHERED = 10_000
 #: Above the bucket number of the smallest positive double.
 SHIFT = 1100 * STEPS
 
@@ -118,6 +123,49 @@ def spread(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame
     """Count, median, P95, P99, MAD, robust scale, mean, variance and minimum per key."""
     keys = list(keys)
     counted = store(_counted(df, keys, value))
+    if not keys:
+        return _spread_by_buckets(counted, keys)
+    large = store(counted.groupBy(*keys).agg(F.sum("_c").alias("_n")).where(F.col("_n") > GATHERED).select(*keys))
+    if large.isEmpty():
+        return _spread_gathered(counted, keys)
+    part = lambda how: _matching(counted, large, keys, how)
+    return _spread_gathered(part("left_anti"), keys).unionByName(_spread_by_buckets(store(part("left_semi")), keys))
+
+
+def _matching(rows: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:
+    other = groups.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    return rows.join(F.broadcast(other), [rows[k].eqNullSafe(other[f"_r_{k}"]) for k in keys], how)
+
+
+SPREAD = ("sample_size", "median", "p95", "p99", "mean", "variance", "min", "mad", "robust_scale")
+
+
+def _spread_gathered(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread of groups that are small enough for one sorted array."""
+
+    def at(values: str, p: float) -> Column:
+        place = (F.col("sample_size") - 1) * F.lit(p)
+        low = F.floor(place)
+        a, b = (F.element_at(values, (i + 1).cast("int")) for i in (low, F.least(low + 1, F.col("sample_size") - 1)))
+        return F.when(a == b, a).otherwise(a + (b - a) * (place - low))
+
+    copies = F.transform(F.array_sort(F.collect_list(F.struct("_v", "_c"))), lambda x: F.array_repeat(x["_v"], x["_c"].cast("int")))
+    sorted_ = counted.groupBy(*keys).agg(F.flatten(copies).alias("_s")).withColumn("sample_size", F.size("_s").cast("bigint"))
+    middle = sorted_.withColumn("median", at("_s", 0.5)).withColumn("_off", F.transform("_s", lambda v: v - F.col("median")))
+    zero = F.lit(0.0)
+    sums = F.struct(
+        F.aggregate("_off", zero, lambda s, d: s + d).alias("s1"), F.aggregate("_off", zero, lambda s, d: s + d * d).alias("s2"),
+    )
+    whole = middle.withColumns({"_away": F.array_sort(F.transform("_off", F.abs)), "_sums": sums})
+    s1, n = F.col("_sums.s1"), F.col("sample_size")
+    squares = F.greatest(F.col("_sums.s2") - s1 * s1 / n, zero)
+    return whole.withColumns({
+        "p95": at("_s", 0.95), "p99": at("_s", 0.99), "mean": F.col("median") + s1 / n,
+        "variance": F.when(n > 1, squares / (n - 1)), "min": F.element_at("_s", 1), "mad": at("_away", 0.5),
+    }).select(*keys, *SPREAD[:-1], (F.col("mad") * MAD_TO_SIGMA).alias("robust_scale"))
+
+
+def _spread_by_buckets(counted: DataFrame, keys: list[str]) -> DataFrame:
     base = store(_at_ranks(counted, keys, [0.5, 0.95, 0.99]).select(
         *keys, F.col("n").alias("sample_size"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99")
     ))
