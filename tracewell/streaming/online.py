@@ -181,7 +181,8 @@ def chain_stream(readings: DataFrame, zones: DataFrame, companions: DataFrame |
     longitude, accuracy_m``; readings have what they know of INPUT and CARRIED.  ``multipliers`` is ``cell, cell_multiplier``.
     """
     prepare(readings.sparkSession)
-    rows = readings.withColumn("cell", geo.hex_cell("latitude", "longitude"))
+    # Few large files would leave cells and distances to few tasks.
+    rows = readings.repartition("user_id").withColumn("cell", geo.hex_cell("latitude", "longitude"))
     if multipliers is not None:
         rows = rows.drop("cell_multiplier").join(multipliers.select("cell", "cell_multiplier"), "cell", "left")
     rows = with_zone_distances(rows, zones)
