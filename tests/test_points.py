@@ -139,3 +139,29 @@ def test_features_ignore_later_fixes(spark):
     whole = features.features_from_points(points(spark, rows)).where("window_index < 3")
     cut = features.features_from_points(points(spark, rows[:70])).where("window_index < 3")
     assert sorted(map(str, whole.drop("is_full_window").collect())) == sorted(map(str, cut.drop("is_full_window").collect()))
+
+
+def test_traces_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    line = b"39.9,116.3,0,100,39000.5,2008-10-23,02:53:%02d"
+    head = b"h\r\n" * 6
+    files = {
+        "a/Trajectory/t1.plt": head + b"\r\n".join(line % i for i in range(30)) + b"\r\n",
+        "a/Trajectory/t2.plt": b"\xef\xbb\xbf" + head + line % 1 + b"\r" + line % 2 + b"\n\n" + line % 3,  # all kinds of line ends
+        "deep/er/still/b/t3.plt": head + line % 4,
+        "b/empty.plt": b"", "b/_tmp/t.plt": head + line % 5, "b/.t.plt": head + line % 6, "b/t.plt.7": head + line % 7, "t4.plt": head + line % 8,
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    found = plt.discover(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()  # its listing would pass all files through the driver
+    here = {str(tmp_path / n): len(t) for n, t in files.items() if n[:5] != "b/_tm" and n[:3] != "b/." and n.endswith("plt")}
+    assert {r.path: r.length for r in found.collect()} == here
+    columns = ("trajectory_id", "pos", "timestamp", "latitude")
+    rows = lambda: sorted(plt.read_traces(spark, str(tmp_path)).select(*columns).collect())
+    whole = rows()
+    assert [r.pos for r in whole if r.trajectory_id == "a_t2"] == [6, 7, 9]
+    assert len(whole) == 30 + 3 + 2
+    monkeypatch.setattr(plt, "WHOLE_BYTES", 500)
+    assert rows() == whole  # the long file goes in blocks
+    assert sorted(plt.read_traces(spark, f"{tmp_path}/*").select(*columns).collect()) == whole  # a pattern goes by Spark's reader
