@@ -1,5 +1,7 @@
 """Nothing is learned from unseen users, from the scored trip or from later ones."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,13 @@ def test_a_horizon_without_labels_has_no_model(spark):
         got = models.score(rows, fitted, 120).first()
         assert fitted.model is None and got.calibrated_probability is None and got.y_pred is None
         assert models.importances(fitted, spark).count() == 0
+
+
+def test_horizons_are_fitted_side_by_side(spark):
+    meet = threading.Barrier(2, timeout=30)  # breaks if one fit waits for the end of the other
+
+    def fit(horizon):
+        meet.wait()
+        return models._nothing(str(horizon), ())
+
+    assert {h: f.name for h, f in models.fit_horizons(fit, (120, 360), spark).items()} == {120: "120", 360: "360"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -71,6 +73,16 @@ def _screened(fits: Sequence, check: DataFrame) -> int:
     return values.index(max(values))
 
 
+def fit_horizons(fit: Callable[[int], Fitted], horizons: Sequence[int], spark) -> dict[int, Fitted]:
+    """``fit(horizon)`` of every horizon, side by side.
+
+    A round of trees is a chain of short jobs, each waiting for the one before; other horizons use the cores meanwhile.  The fits share
+    nothing but their input, so they are the same as one after the other.
+    """
+    with ThreadPool(max(len(horizons), 1)) as pool:
+        return dict(zip(horizons, pool.map(inheritable_thread_target(spark)(fit), horizons, chunksize=1)))
+
+
 def fit_boosted(
     train: DataFrame, val: DataFrame, horizon_s: int, rules: ModelRules = ModelRules(),
     columns: Sequence[str] = EXTENDED_PREDICTORS, wide: bool = False,

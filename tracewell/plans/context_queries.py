@@ -362,11 +362,10 @@ def score_traces(spark, sf):
     """Points to windows, features, model scores, movement class, spatial context and decision."""
     from tracewell.operators import models, risk
     from tracewell.operators.scoring import score_windows
-    from tracewell.plans.risk_queries import HORIZONS, _cohort
+    from tracewell.plans.risk_queries import _cohort, _fits
 
-    d = _cohort(spark, sf)
-    fitted = {h: models.fit_boosted(d["train"], d["val"], h) for h in HORIZONS}
     f = store(feature_table(spark, sf, 250))
+    fitted = _fits(spark, _cohort(f), models.fit_boosted)
     return score_windows(f, adapter.zones(spark, sf), place_profiles(spark, sf), fitted, risk.population_prior(risk.held_out(f)[0]))
 
 

@@ -571,19 +571,20 @@ def apply_calibration(spark, sf):
 HORIZONS = RiskRules().horizons_s
 
 
-def _cohort(spark, sf):
-    k = store(risk.known_cohort(feature_table(spark, sf, 250), extended=True))
+def _cohort(features):
+    k = store(risk.known_cohort(features, extended=True))
     return {p: k.where(F.col("split") == p) for p in ("train", "val", "test")}
 
 
-def _fit(d, fit, h, **options):
-    return fit(d["train"], d["val"], h, **options)
+def _fits(spark, d, fit, **options):
+    return models.fit_horizons(lambda h: fit(d["train"], d["val"], h, **options), HORIZONS, spark)
 
 
 def _predictions(spark, sf, fit, **options):
     """Scores of the test rows at every horizon, long."""
-    d = _cohort(spark, sf)
-    return reduce(DataFrame.unionByName, [models.score(d["test"], _fit(d, fit, h, **options), h) for h in HORIZONS])
+    d = _cohort(store(feature_table(spark, sf, 250)))
+    fitted = _fits(spark, d, fit, **options)
+    return reduce(DataFrame.unionByName, [models.score(d["test"], fitted[h], h) for h in HORIZONS])
 
 
 @query("mdl1_boosted_predictions")
@@ -628,6 +629,6 @@ def by_horizon(spark, sf):
 
 @query("mdl7_top_inputs")
 def top_inputs(spark, sf):
-    d = _cohort(spark, sf)
-    each = [models.importances(_fit(d, models.fit_boosted, h), spark).withColumn("horizon_s", F.lit(h)) for h in HORIZONS]
+    fitted = _fits(spark, _cohort(store(feature_table(spark, sf, 250))), models.fit_boosted)
+    each = [models.importances(fitted[h], spark).withColumn("horizon_s", F.lit(h)) for h in HORIZONS]
     return reduce(DataFrame.unionByName, each)
