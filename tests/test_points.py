@@ -165,3 +165,15 @@ def test_traces_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plt, "WHOLE_BYTES", 500)
     assert rows() == whole  # the long file goes in blocks
     assert sorted(plt.read_traces(spark, f"{tmp_path}/*").select(*columns).collect()) == whole  # a pattern goes by Spark's reader
+
+
+def test_window_medians_come_from_sorted_values(spark):
+    steps = {"odd": (0, 1, 3, 10), "even": (0, 1, 3, 10, 50), "one": (0,), "same": (0, 5, 10)}
+    found = features.features_from_points(points(spark, [("u", t, s, 40.0 + s / 1e4, 116.0) for t, at_s in steps.items() for s in at_s]))
+    # Spark's percentile compiles a projection per group.
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.trajectory_id: (r.dt_median, r.step_distance_median, r.median_speed_mps) for r in found.collect()}
+    assert {t: m[0] for t, m in got.items()} == {"odd": 2.0, "even": 4.5, "one": None, "same": 5.0}
+    assert got["one"] == (None, None, None)
+    assert got["odd"][1] == pytest.approx(2 * 11.1195, rel=1e-4)
+    assert got["even"][2] == pytest.approx(11.1195, rel=1e-4)

@@ -99,6 +99,17 @@ def _steps(segmented: DataFrame, rules: FeatureRules, window_s: int) -> DataFram
     )
 
 
+def _median(value: str) -> Column:
+    """Median of the values of a window.
+
+    Spark's ``percentile`` compiles a projection for every group that it writes or reads, which costs far more than the few values.
+    """
+    values = F.sort_array(F.collect_list(value))
+    n = F.size(values)
+    low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+
+
 def window_features(
     segmented: DataFrame,
     rules: FeatureRules = FeatureRules(),
@@ -134,13 +145,13 @@ def window_features(
         F.count("dt").alias("_steps"),
         F.count_if(F.col("dt") == 0).alias("zero_dt_count"),
         F.avg("dt").alias("dt_mean"),
-        F.percentile("dt", 0.5).alias("dt_median"),
+        _median("dt").alias("dt_median"),
         F.min("dt").alias("dt_min"),
         F.max("dt").alias("dt_max"),
         F.stddev_samp("dt").alias("dt_std"),
         F.coalesce(F.sum("step"), F.lit(0.0)).alias("path_distance_m"),
         F.avg("step").alias("step_distance_mean"),
-        F.percentile("step", 0.5).alias("step_distance_median"),
+        _median("step").alias("step_distance_median"),
         F.max("step").alias("step_distance_max"),
         F.min("step").alias("step_distance_min"),
         F.stddev_samp("step").alias("step_distance_std"),
@@ -156,7 +167,7 @@ def window_features(
         F.min("_clon").alias("centroid_lon"),
         F.count("speed").alias("_speeds"),
         F.avg("speed").alias("mean_speed_mps"),
-        F.percentile("speed", 0.5).alias("median_speed_mps"),
+        _median("speed").alias("median_speed_mps"),
         F.max("speed").alias("max_speed_mps"),
         F.min("speed").alias("min_speed_mps"),
         F.stddev_samp("speed").alias("speed_std_dev"),
