@@ -59,3 +59,16 @@ def test_horizons_are_fitted_side_by_side(spark):
         return models._nothing(str(horizon), ())
 
     assert {h: f.name for h, f in models.fit_horizons(fit, (120, 360), spark).items()} == {120: "120", 360: "360"}
+
+
+def test_users_with_many_windows_get_the_same_past(spark, monkeypatch):
+    windows = store(risk.split_windows(feature_table(spark, SF, 250)))
+    sizes = sorted(r["count"] for r in windows.groupBy("user_id").count().collect())
+    assert sizes[0] < sizes[-1]
+    for build in (risk.past_baselines, risk.expanding_baselines):
+        found = []
+        for held in (sizes[-1], sizes[len(sizes) // 2] - 1, 0):  # all users by arrays, some, none
+            monkeypatch.setattr(risk, "HELD", held)
+            rows = build(windows)
+            found.append(sorted(rows.select("user_id", "base_no", "feature", *rows.columns[3:]).collect(), key=lambda r: r[:3]))
+        assert found[0] and found[0] == found[1] == found[2]

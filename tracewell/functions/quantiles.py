@@ -142,6 +142,12 @@ SPREAD = ("sample_size", "median", "p95", "p99", "mean", "variance", "min", "mad
 
 def _spread_gathered(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Spread of groups that are small enough for one sorted array."""
+    copies = F.transform(F.array_sort(F.collect_list(F.struct("_v", "_c"))), lambda x: F.array_repeat(x["_v"], x["_c"].cast("int")))
+    return spread_sorted(counted.groupBy(*keys).agg(F.flatten(copies).alias("_s")), keys)
+
+
+def spread_sorted(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread of rows that each hold one group: ``keys`` and the sorted array ``_s``, which is not empty."""
 
     def at(values: str, p: float) -> Column:
         place = (F.col("sample_size") - 1) * F.lit(p)
@@ -149,8 +155,7 @@ def _spread_gathered(counted: DataFrame, keys: list[str]) -> DataFrame:
         a, b = (F.element_at(values, (i + 1).cast("int")) for i in (low, F.least(low + 1, F.col("sample_size") - 1)))
         return F.when(a == b, a).otherwise(a + (b - a) * (place - low))
 
-    copies = F.transform(F.array_sort(F.collect_list(F.struct("_v", "_c"))), lambda x: F.array_repeat(x["_v"], x["_c"].cast("int")))
-    sorted_ = counted.groupBy(*keys).agg(F.flatten(copies).alias("_s")).withColumn("sample_size", F.size("_s").cast("bigint"))
+    sorted_ = lists.withColumn("sample_size", F.size("_s").cast("bigint"))
     middle = sorted_.withColumn("median", at("_s", 0.5)).withColumn("_off", F.transform("_s", lambda v: v - F.col("median")))
     zero = F.lit(0.0)
     sums = F.struct(

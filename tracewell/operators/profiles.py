@@ -57,7 +57,11 @@ def empirical_baselines(
     """Median, MAD, scale and P95 per key and feature; null below the minimum sample size."""
     keys = list(keys)
     long = melt(features, keys, columns)
-    fit = spread(long, [*keys, "feature"], "value")
+    return sampled(spread(long, [*keys, "feature"], "value"), keys, rules)
+
+
+def sampled(fit: DataFrame, keys: list[str] | tuple[str, ...], rules: RiskRules = RiskRules()) -> DataFrame:
+    """Baselines from the spread of every key and feature; null below the minimum sample size."""
     enough = F.col("sample_size") >= rules.min_baseline_samples
     return fit.select(
         *keys,

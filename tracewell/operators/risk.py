@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import BASELINE_FEATURES, RiskRules, SegmentRules
+from tracewell.functions.quantiles import spread_sorted
 from tracewell.functions.scan import max_before, ordered_scan, running_sum, time_chunk
-from tracewell.operators.features import EXTENDED, calendar
-from tracewell.operators.profiles import empirical_baselines, population_baseline
+from tracewell.operators.features import EXTENDED, calendar, melt
+from tracewell.operators.profiles import empirical_baselines, population_baseline, sampled
 from tracewell.session import store
 
 BASE_COLUMNS = (
@@ -327,16 +328,39 @@ def shared_trips(split: DataFrame) -> DataFrame:
 # --- cohorts --------------------------------------------------------------------------------
 
 
-def _before(asked: DataFrame, past: DataFrame) -> DataFrame:
-    """Rows of ``past`` of the trips below each asked ``base_no`` of a user."""
-    return asked.join(past, "user_id").where(F.col("trip_no") < F.col("base_no")).drop("trip_no")
+#: Windows of a user that are held as one sorted array per feature.
+HELD = 1000
+#: A trip number above all others.
+BEYOND = 1 << 62
+
+
+def _baselines_before(asked: DataFrame, past: DataFrame, rules: RiskRules) -> DataFrame:
+    """Baseline per asked ``(user_id, base_no)`` from the rows of ``past`` of the user's trips below ``base_no``.
+
+    A user's values are shuffled and sorted once, and each asked trip picks from them what came before it.  A user of more than ``HELD``
+    windows is joined with its asked trips instead, so that the work is spread over ``(user, trip)``.
+    """
+    keys = ["user_id", "base_no"]
+    large = store(past.groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") > HELD).select("user_id"))
+    some = not large.isEmpty()
+    few = past.join(F.broadcast(large), "user_id", "left_anti") if some else past
+    long = melt(few, ["user_id", "trip_no"], BASELINE_FEATURES).where(F.col("value").isNotNull())
+    value = F.struct((F.col("value") + 0.0).alias("v"), "trip_no")
+    lists = long.groupBy("user_id", "feature").agg(F.sort_array(F.collect_list(value)).alias("_all"))
+    earlier = F.filter("_all", lambda x: x["trip_no"] < F.col("base_no"))
+    seen = asked.join(lists, "user_id").select(*keys, "feature", F.transform(earlier, lambda x: x["v"]).alias("_s"))
+    out = sampled(spread_sorted(seen.where(F.size("_s") > 0), [*keys, "feature"]), keys, rules)
+    if not some:
+        return out
+    many = asked.join(past.join(F.broadcast(large), "user_id", "left_semi"), "user_id").where(F.col("trip_no") < F.col("base_no"))
+    return out.unionByName(empirical_baselines(many.drop("trip_no"), keys, rules))
 
 
 def past_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
     """Baseline per ``(user_id, base_no)`` from the user's trips before trip ``base_no``, for trips beyond the warm-up."""
     past = windows.select("user_id", "trip_no", *BASELINE_FEATURES)
     asked = windows.where(F.col("trip_no") > rules.warmup_trips).select("user_id", F.col("trip_no").alias("base_no")).distinct()
-    return empirical_baselines(_before(asked, past), ("user_id", "base_no"), rules)
+    return _baselines_before(asked, past, rules)
 
 
 def expanding_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
@@ -348,11 +372,10 @@ def expanding_baselines(windows: DataFrame, rules: RiskRules = RiskRules()) -> D
     """
     past = windows.where("split IN ('warmup', 'train')").select("user_id", "trip_no", *BASELINE_FEATURES)
     asked = windows.where("split = 'train'").select("user_id", F.col("trip_no").alias("base_no")).distinct()
-    seen = _before(asked, past)
-    frozen = past.withColumn("base_no", F.lit(0).cast("bigint")).drop("trip_no")
-    return empirical_baselines(
-        seen.unionByName(frozen.select(*seen.columns)), ("user_id", "base_no"), rules
-    )
+    # The frozen baseline is that of a trip beyond all others.
+    frozen = past.select("user_id").distinct().withColumn("base_no", F.lit(BEYOND).cast("bigint"))
+    number = F.when(F.col("base_no") == BEYOND, 0).otherwise(F.col("base_no")).cast("bigint")
+    return _baselines_before(asked.unionByName(frozen), past, rules).withColumn("base_no", number)
 
 
 def held_out(features: DataFrame, rules: RiskRules = RiskRules()) -> tuple[DataFrame, DataFrame]:
