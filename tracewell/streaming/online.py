@@ -12,7 +12,7 @@ from tracewell.operators import machines as m
 from tracewell.operators.zones import with_zone_distances
 from tracewell.sources import sinks
 from tracewell.streaming.jobs import CLOSING_USER, LATE, prepare
-from tracewell.streaming.ordered import ByBuckets, OrderedProcessor, bucket
+from tracewell.streaming.ordered import ByPackedBuckets, OrderedProcessor, packed
 from tracewell.streaming.processors import metres
 
 #: What the chain reads of a reading; a column that a stream lacks is null.
@@ -59,6 +59,11 @@ class OnlineChain(OrderedProcessor):
         self.pdr, self.fence = m.pdr_machine(), m.geofence_machine(self.fence_rules)
         self.loop, self.party = m.loop_machine(), m.group_machine(self.group_rules)
         self.escalation = m.escalation_machine(self.rules)
+        # Looked up, as working a move out costs more than the rest of a step.
+        self.pdr_to, self.fence_to, self.loop_to, self.party_to, self.escalation_to = (
+            x.table() for x in (self.pdr, self.fence, self.loop, self.party, self.escalation)
+        )
+        self.levels = [name.split("|") for name in self.escalation.states]
         self.scores = {"S_PATTERN": self.rules.score_pattern, "S_HEART": self.rules.score_heart, "C_HEART": self.rules.score_heart_sustained}
 
     def start(self) -> dict:
@@ -76,7 +81,7 @@ class OnlineChain(OrderedProcessor):
             return []
         pdr_tier = None
         if row["is_degraded"]:
-            s["tier"] = self.pdr.step(s["tier"], m.pdr_symbol(row["net_displacement_m"] or 0.0, self.pdr_rules))
+            s["tier"] = self.pdr_to[s["tier"] * self.pdr.symbols + m.pdr_symbol(row["net_displacement_m"] or 0.0, self.pdr_rules)]
             pdr_tier = self.pdr.states[s["tier"]]
         level = self._escalate(s, row)
         fence = self._fence(s["fence"], row)
@@ -98,7 +103,7 @@ class OnlineChain(OrderedProcessor):
 
     def _escalate(self, s: dict, row: dict) -> str:
         now, limit = row["t_us"], int(self.rules.max_gap_s * 1e6)
-        before = self.escalation.states[s["level"]].split("|")
+        before = self.levels[s["level"]]
         if s["before_us"] == now:  # of readings with one time the first counts
             return before[0]
         s["before_us"] = now
@@ -126,8 +131,8 @@ class OnlineChain(OrderedProcessor):
         stale = not gap and before[0] != "NONE" and expired
         if strange and not stale and not (not gap and same and before[3] == "1"):
             s["sure_us"] = now
-        s["level"] = self.escalation.step(s["level"], m.escalation_symbol(kind, not live, gap, expired, same))
-        return self.escalation.states[s["level"]].split("|")[0]
+        s["level"] = self.escalation_to[s["level"] * self.escalation.symbols + m.escalation_symbol(kind, not live, gap, expired, same)]
+        return self.levels[s["level"]][0]
 
     def _fence(self, held: dict, row: dict) -> list[tuple[str, str, str, str]]:
         rules, out = self.fence_rules, []
@@ -138,7 +143,7 @@ class OnlineChain(OrderedProcessor):
         for zone, d in zip(ids, far):
             was = held.get(zone, self.fence.start)
             symbol = (m.INSIDE if d <= 0 else 0) | (m.PAST_BUFFER if d > buffer else 0) | (m.ANY_INSIDE if within else 0) | (m.HOLD if poor else 0)
-            now = held[zone] = self.fence.step(was, symbol)
+            now = held[zone] = self.fence_to[was * self.fence.symbols + symbol]
             out.append((zone, self.fence.states[now], *m.fence_report(self.fence.states[was], self.fence.states[now], poor)))
         return out
 
@@ -146,7 +151,8 @@ class OnlineChain(OrderedProcessor):
         looping, shut = bool(row["is_looping"]), bool(row["loop_closed"])
         release = inside or row["loop_pattern"] == "PROGRESSIVE_TRANSIT"
         was = self.loop.states[s["loop"]]
-        s["loop"] = self.loop.step(s["loop"], looping * m.LOOPING | bool(row["is_corroborating_risk"]) * m.CORROBORATED | release * m.RELEASE | shut * m.CLOSED)
+        symbol = looping * m.LOOPING | bool(row["is_corroborating_risk"]) * m.CORROBORATED | release * m.RELEASE | shut * m.CLOSED
+        s["loop"] = self.loop_to[s["loop"] * self.loop.symbols + symbol]
         now = self.loop.states[s["loop"]]
         return m.loop_action(was, now, looping, shut), m.loop_tier(now)
 
@@ -164,7 +170,7 @@ class OnlineChain(OrderedProcessor):
         shut = bool(row["group_closed"])
         symbol = (m.APART if apart is not None and apart > rules.separation_m else 0) | (m.AROUSED if row["is_aroused"] else 0) | (m.CLOSED if shut else 0) | (m.GROUP_HOLD if problem else 0)
         was = self.party.states[s["party"]]
-        s["party"] = self.party.step(s["party"], symbol)
+        s["party"] = self.party_to[s["party"] * self.party.symbols + symbol]
         now = self.party.states[s["party"]]
         action = "NONE" if problem else m.group_action(was, now, shut)
         return problem or now.split("|")[0], action, {"t2": 2, "t3": 3}.get(now.split("|")[1]), apart
@@ -192,7 +198,7 @@ def chain_stream(readings: DataFrame, zones: DataFrame, companions: DataFrame |
     if companions is not None:
         none = [F.lit(None).cast(t) for t in ("array<string>", "array<double>")]
         both = both.unionByName(companions.select(*timed, F.lit(0).alias("kind"), none[0].alias("zone_ids"), none[1].alias("zone_m"), *_with(companions, INPUT | CARRIED)))
-    return both.withWatermark("event_time", late).withColumn("bucket", bucket()).groupBy("bucket").transformWithStateInPandas(ByBuckets(OnlineChain()), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
+    return packed(both.withWatermark("event_time", late), OnlineChain()).groupBy("bucket").transformWithStateInPandas(ByPackedBuckets(OnlineChain()), CHAIN_OUT, "Append", "EventTime").where(F.col("user_id") != CLOSING_USER)
 
 
 def scored(chain: DataFrame) -> DataFrame:
