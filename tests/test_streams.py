@@ -89,3 +89,16 @@ def test_late_copies_are_ignored(spark, source):
     twice = stream.withColumn("_c", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_c")
     once = finish(jobs.deduplicated(twice))
     assert once.groupBy("user_id", "t_us").count().where("count > 1").count() == 0
+
+
+def test_the_closing_row_comes_with_the_last_slice(spark, tmp_path):
+    from tracewell.plans import adapter
+
+    rows = spark.range(1000).selectExpr("CAST(id % 7 AS STRING) AS user_id", "id AS event_id", "id * 1000000 AS t_us")
+    stream = adapter.arrivals(spark, rows)
+    q = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    counts = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(counts) == 5 and sum(counts) == 1001 and min(counts) > 150  # six with one for the last row before
+    got = {(r.event_id, r.user_id) for r in spark.table("arrived").collect()}
+    assert got == {(i, str(i % 7)) for i in range(1000)} | {(-1, jobs.CLOSING_USER)}
