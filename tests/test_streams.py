@@ -102,3 +102,21 @@ def test_the_closing_row_comes_with_the_last_slice(spark, tmp_path):
     assert len(counts) == 5 and sum(counts) == 1001 and min(counts) > 150  # six with one for the last row before
     got = {(r.event_id, r.user_id) for r in spark.table("arrived").collect()}
     assert got == {(i, str(i % 7)) for i in range(1000)} | {(-1, jobs.CLOSING_USER)}
+
+
+def test_independent_jobs_run_side_by_side(spark):
+    from threading import Barrier
+
+    from tracewell.session import side_by_side
+
+    meet = Barrier(3)  # broken if they came one after the other
+    assert side_by_side(spark, *(lambda n=n: meet.wait(20) and 0 or spark.range(n).count() for n in (1, 2, 3))) == [1, 2, 3]
+
+
+def test_zones_may_be_gathered_before(spark, source):
+    from tracewell.operators.zones import with_zone_distances, zones_by_user
+
+    df, _, zone = source
+    a, b = (with_zone_distances(df, z).select("event_id", "zone_distances").orderBy("event_id").collect() for z in (zone, zones_by_user(zone)))
+    norm = lambda rows: [(r[0], sorted(r[1] or [])) for r in rows]
+    assert norm(a) == norm(b)

@@ -34,7 +34,8 @@ def with_zone_distances(
 
     The distance is signed, negative inside.  A position exactly on a polygon edge has distance
     zero and may still be outside.  ``spread_by`` names the keys a later stage groups by: rows are
-    then shuffled before the geometry is computed instead of after it.
+    then shuffled before the geometry is computed instead of after it.  ``zones`` may be gathered
+    already (:func:`zones_by_user`), which spares every batch of a stream the gathering.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
     scale = (F.col("_kx"), F.col("_ky"))
@@ -60,7 +61,8 @@ def with_zone_distances(
         ),
     )
     kx, ky = geo.local_scale("latitude")
-    joined = readings.join(zones_by_user(zones), "user_id", "left")
+    gathered = zones if "zones" in zones.columns else zones_by_user(zones)
+    joined = readings.join(gathered, "user_id", "left")
     if spread_by:
         joined = joined.repartition(*spread_by)
     joined = joined.withColumns({"_kx": kx, "_ky": ky})

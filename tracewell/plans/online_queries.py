@@ -16,7 +16,7 @@ from tracewell.plans.registry import query
 from tracewell.plans.sqltext import hav
 from tracewell.plans.state_queries import NUM, ST1, ST2, ST3, ST4, ST5, ST6_STEP, walk
 from tracewell.plans.window_queries import hex_sql
-from tracewell.session import scratch_dir, store
+from tracewell.session import scratch_dir, side_by_side, store
 from tracewell.sources import sinks
 from tracewell.streaming import online
 
@@ -43,12 +43,11 @@ def ingested(spark, sf) -> str:
     if at not in RUNS:
         out = scratch_dir(spark)
         rows = adapter.readings(spark, sf).selectExpr("* EXCEPT (timestamp, uid)", *INPUTS)
-        stream = adapter.arrivals(spark, rows)
+        # Stored, as every micro-batch reads them.
+        stream, factors = side_by_side(spark, lambda: adapter.arrivals(spark, rows), lambda: store(multipliers(spark, sf)))
         fix = F.coalesce(F.col("event_type") == "view", F.lit(False))
         fixes = stream.where(fix).withColumn("accuracy_m", F.expr("3.0D + v % 24"))
-        # Stored, as every micro-batch reads them.
-        fixed = [store(t) for t in (adapter.zones(spark, sf), adapter.consent(spark, sf), multipliers(spark, sf))]
-        online.ingest(stream.where(~fix), *fixed[:2], out, f"{out}/checkpoint", fixes, fixed[2]).awaitTermination()
+        online.ingest(stream.where(~fix), adapter.zones(spark, sf), adapter.consent(spark, sf), out, f"{out}/checkpoint", fixes, factors).awaitTermination()
         RUNS[at] = out
     return RUNS[at]
 

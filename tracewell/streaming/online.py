@@ -9,7 +9,8 @@ from tracewell.config import EscalationRules, GeofenceRules, GroupRules, PdrRule
 from tracewell.functions import geo
 from tracewell.operators import cleaning, decision, states
 from tracewell.operators import machines as m
-from tracewell.operators.zones import with_zone_distances
+from tracewell.operators.zones import with_zone_distances, zones_by_user
+from tracewell.session import side_by_side, store
 from tracewell.sources import sinks
 from tracewell.streaming.jobs import CLOSING_USER, LATE, prepare
 from tracewell.streaming.ordered import ByPackedBuckets, OrderedProcessor, packed
@@ -238,21 +239,28 @@ def ingest(stream: DataFrame, zones: DataFrame, consent: DataFrame, path: str, c
     ``path`` receives ``events`` (machine outcomes), ``wearables`` and ``history`` (append, a repeated batch replaces itself) and
     ``alerts`` (keyed merge).
     """
-    with_consent = cleaning.consented(stream.where(F.col("user_id") != CLOSING_USER), consent)
-    closing = stream.where(F.col("user_id") == CLOSING_USER)
-    fixes = None if companions is None else cleaning.consented(companions.where(F.col("user_id") != CLOSING_USER), consent)
-    chain = chain_stream(with_consent.unionByName(closing.select(*with_consent.columns)), zones, fixes, multipliers)
+    session = stream.sparkSession
+    # The closing user passes as one more that agreed, so that the source is not read once more for one row.
+    closing = session.range(1).selectExpr(f"'{CLOSING_USER}' AS user_id", "true AS guardian_granted", "false AS end_user_consent_applicable", "true AS end_user_granted")
+    everyone = consent.select(*closing.columns).where(F.col("user_id") != CLOSING_USER).unionByName(closing)
+    # Stored, as every micro-batch reads them.
+    agreed, fences = side_by_side(session, lambda: store(everyone), lambda: store(zones_by_user(zones)))
+    fixes = None if companions is None else cleaning.consented(companions.where(F.col("user_id") != CLOSING_USER), agreed)
+    chain = chain_stream(cleaning.consented(stream, agreed), fences, fixes, multipliers)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        history = scored(batch)
+        columns = ["user_id", "event_id", "t_us", "cell", "risk_score", "risk_tier", "polling_tier", "predicted_lead_time_sec", "polling", "pdr_tier", "is_escalated"]
+        worn = batch.where("event_id IS NOT NULL AND heart_rate_bpm IS NOT NULL")
+        sides = [
+            lambda: sinks.append_batch(worn.select("user_id", "event_id", "t_us", "heart_rate_bpm", "wear_state"), batch_id, f"{path}/wearables"),
+            lambda: sinks.append_batch(history.select(*columns), batch_id, f"{path}/history"),
+            lambda: sinks.merge_buckets(_open_alerts(history), batch_id, f"{path}/alerts", ["user_id", "cell"], _joined_alerts),
+        ]
         try:
-            sinks.append_batch(batch, batch_id, f"{path}/events")
-            worn = batch.where("event_id IS NOT NULL AND heart_rate_bpm IS NOT NULL")
-            sinks.append_batch(worn.select("user_id", "event_id", "t_us", "heart_rate_bpm", "wear_state"), batch_id, f"{path}/wearables")
-            history = scored(batch)
-            columns = ["user_id", "event_id", "t_us", "cell", "risk_score", "risk_tier", "polling_tier", "predicted_lead_time_sec", "polling", "pdr_tier", "is_escalated"]
-            sinks.append_batch(history.select(*columns), batch_id, f"{path}/history")
-            sinks.merge_buckets(_open_alerts(history), batch_id, f"{path}/alerts", ["user_id", "cell"], _joined_alerts)
+            sinks.append_batch(batch, batch_id, f"{path}/events")  # runs the chain and keeps its rows for the others
+            side_by_side(session, *sides)
         finally:
             batch.unpersist()
 
